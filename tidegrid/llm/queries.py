@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, simhash, token_files
+from tidegrid.llm import bpe, langid, quality, simhash, token_files
 from tidegrid.llm.common import table
 
 
@@ -28,6 +28,17 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = token_files.write_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -40,6 +51,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality": op5_quality,
+    "op7_langid": op7_langid,
     "op6_token_files": op6_token_files,
     "op9_simhash": op9_simhash,
 }
