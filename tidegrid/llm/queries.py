@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat_format, langid, mixing, quality, simhash, token_files, warc
+from tidegrid.llm import ann, bpe, chat_format, langid, mixing, quality, simhash, token_files, warc
 from tidegrid.llm.common import table
 
 #: The conversation that op1 adds: its texts hold what a template must not take for its own.
@@ -91,6 +91,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), errors=2, words=3)
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_langid": op7_langid,
     "op6_token_files": op6_token_files,
+    "op8_ann": op8_ann,
     "op9_simhash": op9_simhash,
 }
 
