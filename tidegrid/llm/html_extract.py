@@ -44,6 +44,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 WORDS = re.compile(r"[A-Za-z]+")
+DIGITS = re.compile(r"\d")
 #: Elements that stand inside a line of text; every other one begins and ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,30 +137,34 @@ def blocks_of(source: str) -> list[Block]:
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
-    x = np.zeros((len(blocks), WIDTH), np.float32)
     n = len(blocks)
+    x = np.zeros((n, WIDTH), np.float32)
+    path, words, shapes = [], [], []
     for i, b in enumerate(blocks):
-        row = x[i]
+        base = i * WIDTH
         for names in b.path:
             for k in names:
-                row[k] = 1
-        words = b.text.split(None, 24)[:24]
-        for w in words:
-            row[PATH + bucket("word", w.lower()[:12], WORD)] += 1
-        row[PATH : PATH + WORD] /= max(1, len(words)) ** 0.5
+                path.append(base + k)
+        first = b.text.lower().split(None, 12)[:12]
+        words += [base + PATH + bucket("word", w[:12], WORD) for w in first]
         size = len(b.text)
-        row[PATH + WORD :] = (
-            min(size, 400) / 400,
-            min(size, 60) / 60,
-            min(b.linked / size, 1),
-            b.text[-1] in ".!?…:;\"'»”",
-            (b.text.count(",") + b.text.count(".")) / (1 + size / 20),
-            sum(map(str.isdigit, b.text[:200])) / min(size, 200),
-            i / n,
-            1 / (1 + i),
-            1 / (n - i),
-            len(b.path) / 10,
+        shapes.append(
+            (
+                min(size, 400) / 400,
+                min(size, 60) / 60,
+                min(b.linked / size, 1),
+                b.text[-1] in ".!?…:;\"'»”",
+                (b.text.count(",") + b.text.count(".")) / (1 + size / 20),
+                len(DIGITS.findall(b.text, 0, 200)) / min(size, 200),
+                i / n,
+                1 / (1 + i),
+                1 / (n - i),
+                len(b.path) / 10,
+            )
         )
+    x.ravel()[path] = 1
+    np.add.at(x.ravel(), words, np.float32(0.3))
+    x[:, PATH + WORD :] = shapes
     return x
 
 
@@ -277,7 +282,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: int = 900, epochs: int = 5, batch: int = 24, rate: float = 0.01, seed: int = 5) -> Labeller:
+def train(pages: int = 1000, epochs: int = 5, batch: int = 24, rate: float = 0.01, seed: int = 5) -> Labeller:
     """Adam over made pages; the same seed gives the same weights."""
     from tidegrid.llm.html_training import training_pages
 

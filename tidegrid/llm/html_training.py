@@ -27,6 +27,7 @@ class Maker:
         self.r = r
         self.named = r.random() < 0.8  # whether this page's parts bear telling names
         self.semantic = r.random() < 0.7  # whether it uses article, nav, footer and the like
+        self.style = r.choice(("", "", "", "shout", "symbols", "again", "cells"))  # of the article's texts
 
     def word(self) -> str:
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.choice((1, 1, 2, 2, 3, 4))))
@@ -38,6 +39,18 @@ class Maker:
         mark = self.r.choice(("", "", "", ",", " &", "***", '"'))
         return (self.words(low, high) + mark + " " + self.words(1, 5)).capitalize() + self.r.choice("....!?")
 
+    def styled(self, text: str) -> str:
+        words = text.split(" ")
+        if self.style == "shout":
+            return " ".join(w.upper() + "!!" for w in words)
+        if self.style == "symbols":
+            return " ".join(w + self.r.choice(("%%%", "$$$", "&&&", "***", "###")) for w in words)
+        if self.style == "again":
+            return " ".join(w for x in words[: self.r.randint(1, 6)] for w in [x] * self.r.randint(2, 12))
+        if self.style == "cells":
+            return " | ".join(words)
+        return text
+
     def open(self, kind: str, tags: tuple[str, ...]) -> tuple[str, str]:
         """Begin and end tag of a part of a page."""
         tag = self.r.choice(tags) if self.semantic else "div"
@@ -69,12 +82,13 @@ class Maker:
         main, out = [], []
 
         def add(tag: str, text: str, end: bool = True) -> None:
+            text = self.styled(text)
             main.append(text)
             out.append(f"<{tag}>{self.inline(text)}" + (f"</{tag}>" if end else ""))
 
         if self.r.random() < 0.85:
             add(self.r.choice(("h1", "h1", "h2")), self.sentence(2, 9))
-        for _ in range(self.r.choice((1, 2, 3, 5, 8, 13, 25))):
+        for _ in range(self.r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
             text = " ".join(self.sentence() for _ in range(self.r.choice((1, 1, 2, 3, 6))))
             kind = self.r.random()
             if kind < 0.68:

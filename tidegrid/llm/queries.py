@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import ann, bpe, chat_format, langid, mixing, quality, simhash, token_files, warc
+from tidegrid.llm import ann, bpe, chat_format, html_extract, langid, mixing, quality, simhash, token_files, warc
 from tidegrid.llm.common import table
 
 #: The conversation that op1 adds: its texts hold what a template must not take for its own.
@@ -99,6 +99,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), errors=2, words=3)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op8_ann": op8_ann,
     "op9_simhash": op9_simhash,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
