@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import WORD_BREAK, as_text, cut
 
 BINS = 4096
+#: A table of so many sources at most is broadcast; a larger one is joined by its key.
+MOST_BROADCAST = 100_000
 
 
 def size_of(text: str = "text") -> F.Column:
@@ -71,37 +73,50 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row."""
+    """(doc_id, source, size, source_size, target, epochs, taken) for every row, and the columns ``keep``."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 11) + 0.5) / float(1 << 53)
     key = -F.log(u) / (quality if quality is not None else quality_of(text))
-    rows = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), key.alias("key")), "sizes")
+    held = F.struct(*keep) if keep else F.lit(None).cast("string")
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), key.alias("key"), held.alias("held"))
+    if not keep:
+        rows = cut(rows.drop("held"), "sizes").withColumn("held", F.lit(None).cast("string"))
     rows = rows.withColumn("bin", F.floor(BINS * (1 - F.exp(-F.col("key")))).cast("int"))
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    sources = cut(targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most), "targets")
-    named = sources.withColumnRenamed("source", "of")
+    bins = cut(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    named = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most).withColumnRenamed("source", "of")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
-    # A bin is a fraction of a source; the bins of a source are at most BINS rows.
-    order = Window.partitionBy("source").orderBy("bin")
-    ends = F.sum("bin_size").over(order)
+    # The bins of a source are at most BINS rows.
+    ends = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin"))
     cumulated = (
-        bins.join(named, F.col("source").eqNullSafe(F.col("of")))
+        bins.withColumn("bin_end", ends)
+        .join(named, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("epochs", epochs)
         .withColumn("budget", budget)
-        .withColumn("bin_end", ends)
         .withColumn("left", F.col("budget") - F.col("bin_end") + F.col("bin_size"))
     )
     # The bin in which the budget ends, and what is left for it; one row a source.
-    edge = cumulated.groupBy("source", "source_size", "target", "epochs").agg(
-        F.min(F.when(F.col("bin_end") > F.col("budget"), F.col("bin"))).alias("edge"),
-        F.min(F.when(F.col("bin_end") > F.col("budget"), F.struct("bin", "left"))).alias("at"),
-    )
-    edge = edge.select(F.col("source").alias("of"), "source_size", "target", "epochs", F.coalesce("edge", F.lit(BINS + 1)).alias("edge"), F.col("at.left").alias("left"))
-    told = rows.join(edge, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    edge = cumulated.groupBy(F.col("source").alias("of"), "source_size", "target", "epochs").agg(F.min(F.when(F.col("bin_end") > F.col("budget"), F.struct("bin", "left"))).alias("at"))
+    edge = cut(edge.select("of", "source_size", "target", "epochs", F.coalesce("at.bin", F.lit(BINS + 1)).alias("edge"), F.col("at.left").alias("left")), "targets")
+    told = rows.join(F.broadcast(edge) if edge.count() <= MOST_BROADCAST else edge, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     whole = told.where("bin != edge").withColumn("part", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0))
     ranked = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     there = F.coalesce(F.sum("size").over(ranked), F.lit(0))
     split = told.where("bin = edge").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - there)))
-    both = whole.unionByName(split)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
+    return whole.unionByName(split).select("doc_id", "source", "size", "source_size", "target", "epochs", taken, *[F.col(f"held.{c}").alias(c) for c in keep if c not in ("doc_id", "source")])
+
+
+def mixed_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix itself, with the columns of df: each document as often as whole epochs take it, and once more, cut behind its last word, where it is taken in part."""
+    told = mix(df, keep=tuple(df.columns), text=text, **options)
+    rest = F.col("taken") - F.col("epochs") * F.col("size")
+    copies = F.concat(
+        F.when((F.col("epochs") > 0) & (F.col("size") > 0), F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<bigint>")),
+        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
+    )
+    each = told.select(*told.columns, F.explode(copies).alias("words"))
+    first = F.array_join(F.slice(F.filter(F.split(F.col(text), WORD_BREAK), lambda w: w != ""), 1, F.greatest(F.lit(1), F.col("words").cast("int"))), " ")
+    part = F.when((F.col("words") > 0) & (F.col("words") < F.col("size")), first).otherwise(F.col(text))
+    return each.withColumn(text, part).select(*df.columns)

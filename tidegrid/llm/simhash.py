@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,3 +237,35 @@ def near_duplicates(df: DataFrame, errors: int = 2, words: int = 3, doc_id: str
     least = linked.join(lows, "root").select("fp", "least")
     ids = classes.join(least, "fp", "left").select("fp", F.coalesce("least", "low").cast(kind).alias("component_id"))
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, errors: int = 2, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest doc_id, with all columns of df.
+
+    Of rows that share this doc_id the one of least text stays. A group
+    whose doc_ids are all null keeps one row for each of its fingerprints.
+    """
+    found = near_duplicates(df, errors, words, doc_id, text)
+    stay = found.where("component_id is not null").select(F.col("component_id").alias("stays")).distinct()
+    rows = df.join(stay, df[doc_id] == stay.stays, "left_semi")
+    others = [c for c in df.columns if c not in (doc_id, text)]
+    first = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first(), *others)
+    named = rows.withColumn("~n", F.row_number().over(first)).where(F.col("~n") == 1).drop("~n")
+    lone = found.where("doc_id is null and component_id is null").select(F.conv("fingerprint", 16, -10).cast("long").alias("~fp")).distinct()
+    nameless = df.where(F.col(doc_id).isNull())
+    prints = fingerprint_column(nameless, text, words)
+    least = Window.partitionBy("~fp").orderBy(F.col(text).asc_nulls_first(), *others)
+    kept = prints.join(lone, "~fp", "left_semi").withColumn("~n", F.row_number().over(least)).where(F.col("~n") == 1).drop("~n", "~fp")
+    return named.unionByName(kept.select(*df.columns))
+
+
+def fingerprint_column(df: DataFrame, text: str, words: int) -> DataFrame:
+    """df with its fingerprints in the column ~fp."""
+    schema = T.StructType([*df.schema.fields, T.StructField("~fp", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            own = np.array([fingerprint_of(t, words) for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "~fp"])
+
+    return df.mapInArrow(run, schema)
