@@ -51,15 +51,15 @@ def fill_max_gap(df: DataFrame, keys: list[str], order: str, value: str, max_gap
         # Only the two non-null rows next to each end are needed, so no list of all rows is made.
         previous = F.last(there, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         following = F.first(there, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-        rows = rows.withColumn("_p", F.when(F.col(value).isNotNull(), previous)).withColumn("_f", F.when(F.col(value).isNotNull(), following))
-        rows = rows.withColumn("_first", F.first(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col("_f").alias("n"))), True).over(whole))
-        rows = rows.withColumn("_last", F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col("_p").alias("n"))), True).over(whole))
+        rows = rows.withColumn("_before", F.when(F.col(value).isNotNull(), previous)).withColumn("_behind", F.when(F.col(value).isNotNull(), following))
+        rows = rows.withColumn("_head", F.first(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col("_behind").alias("n"))), True).over(whole))
+        rows = rows.withColumn("_tail", F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.col("_before").alias("n"))), True).over(whole))
         rows = rows.withColumn("_lo", F.min(order).over(whole)).withColumn("_hi", F.max(order).over(whole))
-        for end, empty, run in (("_first", "_a", F.col("_first.o") - F.col("_lo")), ("_last", "_b", F.col("_hi") - F.col("_last.o"))):
+        for end, empty, run in (("_head", "_a", F.col("_head.o") - F.col("_lo")), ("_tail", "_b", F.col("_hi") - F.col("_tail.o"))):
             e = F.col(end)
             line = e["v"] + (e["n"]["v"] - e["v"]) * (F.col(order) - e["o"]) / (e["n"]["o"] - e["o"])
             filled = F.coalesce(filled, F.when(F.col(empty).isNull() & (run <= max_gap) & e["n"].isNotNull(), line))
-        rows = rows.withColumn(name, F.coalesce(F.col(value), filled)).drop("_p", "_f", "_first", "_last", "_lo", "_hi")
+        rows = rows.withColumn(name, F.coalesce(F.col(value), filled)).drop("_before", "_behind", "_head", "_tail", "_lo", "_hi")
     else:
         rows = rows.withColumn(name, F.coalesce(F.col(value), filled))
     return rows.drop("_a", "_b")

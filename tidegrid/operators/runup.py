@@ -152,8 +152,8 @@ def runup(df: DataFrame, keys: list[str], x: str = "x", t: str = "ti", z: str =
 def dry_beach(df: DataFrame, keys: list[str], x: str, t: str, z: str, min_window: int, mean_window: int, name: str = "sand") -> DataFrame:
     """Moving minimum over time, short gaps along x filled, moving mean over time."""
     rows = moving_min(df, [*keys, x], t, z, min_window, "_m")
-    rows = fill_max_gap(rows, [*keys, t], x, "_m", 6, name="_f").drop("_m")
-    return moving_mean(rows, [*keys, x], t, "_f", mean_window, strict=True, name=name).drop("_f")
+    rows = fill_max_gap(rows, [*keys, t], x, "_m", 6, name="_filled").drop("_m")
+    return moving_mean(rows, [*keys, x], t, "_filled", mean_window, strict=True, name=name).drop("_filled")
 
 
 def water_depth(z: str, sand: str):
