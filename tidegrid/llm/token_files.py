@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from tidegrid.llm.common import open_fs, scratch, written_files
 
 MAGIC, BLOCK = b"TGBITS01", 4096
+MARKS = ".,;:!?"
 FOOTER = struct.Struct("<QQQQ8s")
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 SPANS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -155,7 +156,7 @@ class CachedTokenizer:
     hold a special token's string go to the library whole.
     """
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -171,7 +172,7 @@ class CachedTokenizer:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
+        split: list[tuple] = []
         whole, missing = [], {}
         for i, text in enumerate(texts):
             words = text.split(" ")
@@ -179,28 +180,43 @@ class CachedTokenizer:
                 whole.append(i)
                 continue
             words[0] = "\0" + words[0]  # the text's first word has no space before it; no other unit begins so
-            new = [w for w in words if w not in self.units]
-            fit = True
-            for w in new:
+            found = list(map(self.units.get, words))
+            holes = [k for k, ids in enumerate(found) if ids is None] if None in found else []
+            for k in holes:
+                w = words[k]
                 if w in self.older:
-                    self.units[w] = self.older[w]
+                    self.units[w] = found[k] = self.older[w]
                 elif not w or w[0].isspace() or w[-1].isspace():
-                    fit = False
+                    whole.append(i)
                     break
+                elif w[-1] in MARKS and w[:-1].isalpha():
+                    # The pattern parts letters from the mark behind them, so both are units of their own.
+                    for own in (w[:-1], "\0" + w[-1]):
+                        if own not in self.units:
+                            missing[own] = b""
                 else:
                     missing[w] = b""
-            if fit:
-                split.append((i, words))
             else:
-                whole.append(i)
+                split.append((i, words, found, holes))
         if missing:
             keys = list(missing)
             for w, ids in zip(keys, self._library([w[1:] if w[0] == "\0" else " " + w for w in keys]), strict=True):
                 missing[w] = ids
-        get = self.units.get
-        for i, words in split:
-            found = list(map(get, words))
-            out[i] = b"".join(found) if None not in found else b"".join([missing[w] if x is None else x for w, x in zip(words, found, strict=True)])
+
+        def known(w: str) -> bytes:
+            ids = self.units.get(w)
+            if ids is None:
+                ids = missing.get(w)
+            if ids is None:
+                ids = known(w[:-1]) + known("\0" + w[-1])
+                self.units[w] = ids
+            return ids
+
+        for i, words, found, holes in split:
+            for k in holes:
+                if found[k] is None:
+                    found[k] = known(words[k])
+            out[i] = b"".join(found)
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
         self.units.update((w, x) for w, x in missing.items() if len(w) <= 64)
