@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidegrid.llm.common import spread
+
 NO_LIMIT = 1 << 62
 
 
@@ -279,4 +281,4 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", id
                 columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(back, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
 
-    return df.select(*{*kept, text} - {ids, decoded} if text not in kept else kept).mapInArrow(run, schema)
+    return spread(df.select(*kept)).mapInArrow(run, schema)

@@ -36,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/") if "://" in found or found.startswith("file:") else f"file://{found.rstrip('/')}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out anew where they lie in fewer partitions than the session has cores, as those of a few small files do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A fresh folder name in the shared folder."""
     return f"{shared_dir(spark)}/tidegrid/{kind}-{uuid.uuid4().hex}"

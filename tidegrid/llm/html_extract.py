@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidegrid.llm.common import spread
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|select|svg|math|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|([^<]+|<)",
@@ -336,4 +338,4 @@ def extract(df: DataFrame, model: Labeller | None = None, html: str = "html", te
                 texts = extract_text(model, batch.column(html).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], names=[*kept, text])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

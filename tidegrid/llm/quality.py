@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidegrid.llm.common import spread
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 WINDOW = 5
@@ -152,4 +154,4 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
             own = [pa.array([r[n] for r in rows], arrow[str(k)]) for n, k in NEW]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + own, names=[*kept, *names])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
