@@ -78,7 +78,8 @@ class Maker:
             words[i + 1] += f"</{tag.split()[0]}>"
         return " ".join(words)
 
-    def article(self) -> tuple[str, list[str]]:
+    def article(self) -> tuple[list[str], list[str]]:
+        """(elements side by side, texts of the blocks)."""
         main, out = [], []
 
         def add(tag: str, text: str, end: bool = True) -> None:
@@ -96,6 +97,10 @@ class Maker:
             elif kind < 0.74:
                 out.append(f"<p><b>{html.escape(text, quote=False)}<br>")
                 main.append(text)
+            elif kind < 0.76:
+                cells = [[self.words(1, 3) if self.r.random() < 0.6 else str(self.r.randrange(9999)) for _ in range(self.r.randint(2, 3))] for _ in range(self.r.randint(1, 3))]
+                main += [c for row in cells for c in row]
+                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in row) + "</tr>" for row in cells) + "</table>")
             elif kind < 0.80:
                 add(self.r.choice(("h2", "h3")), self.words(1, 6).capitalize())
             elif kind < 0.86:
@@ -103,14 +108,17 @@ class Maker:
                 main += items
                 out.append("<ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in items) + "</ul>")
             elif kind < 0.92:
-                out.append("<blockquote>")
                 add("p", text)
-                out.append("</blockquote>")
+                out[-1] = f"<blockquote>{out[-1]}</blockquote>"
             elif kind < 0.96:
-                add("p", self.words(1, 4).capitalize() + ".")
+                add(self.r.choice(("p", "p", "pre")), self.words(1, 4).capitalize() + ".")
             else:
                 add("div" if not self.semantic else "figcaption", text)
-        return "".join(out), main
+        if self.r.random() < 0.05:  # one short line over and over
+            line = self.words(1, 3).capitalize() + self.r.choice((".", ""))
+            for _ in range(self.r.randint(20, 90)):
+                add("p", line)
+        return out, main
 
     def comments(self) -> str:
         each = "".join(f'<div{" class=comment" if self.named else ""}><b>{self.word()}</b><p>{html.escape(self.sentence(3, 14))}</p></div>' for _ in range(self.r.randint(1, 5)))
@@ -134,16 +142,18 @@ class Maker:
         wrap = r.random() < 0.4
         if wrap:
             out.append('<div class="wrapper">' if r.random() < 0.5 else "<div>")
-        body, main = self.article()
+        parts, main = self.article()
         if r.random() < 0.06:
-            body, main = "", []
-        if r.random() < 0.15 and main:  # an advert or a form between paragraphs
-            at = body.rfind("<p>")
-            if at > 0 and body[:at].count("<blockquote>") == body[:at].count("</blockquote>") and not body[:at].endswith(("<br>",)):
-                body = body[:at] + ad() + body[at:]
+            parts, main = [], []
+        for _ in range(r.choice((0, 0, 0, 1, 1, 2))):  # what stands between an article's paragraphs and is none of it
+            if main and (self.named or r.random() < 0.3):
+                share = lambda: self.part("share", ("div",), self.links(2, 4))
+                other = r.choice((ad, ad, notice, share, self.aside)) if self.named else (lambda: self.links(3, 6))
+                parts.insert(r.randint(1, len(parts)), other())
+        body = "".join(parts)
         a, b = self.open("main", ("article", "article", "main"))
         if not self.semantic and not self.named:
-            a, b = r.choice((("<div>", "</div>"), ("", ""), ("<td>", "</td>")))
+            a, b = r.choice((("<div>", "</div>"), ("", ""), (f"<table><tr><td>{self.links(2, 6)}</td><td>", "</td></tr></table>")))
         tail = self.part("share", ("div",), self.links(2, 4)) if r.random() < 0.2 else ""
         out.append(a + body + tail + b)
         maybe(0.3, self.comments)
