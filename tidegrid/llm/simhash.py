@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import cut, spread
 from tidegrid.llm.components import components
 
 BITS, SEED = 64, 42
@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
             own = np.array([fingerprint_of(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], names=["doc_id", "fp"])
 
-    return df.select(doc_id, text).mapInArrow(run, schema)
+    return spread(df.select(doc_id, text)).mapInArrow(run, schema)
 
 
 def blocks(errors: int) -> list[tuple[int, int]]:
@@ -235,7 +235,8 @@ def near_duplicates(df: DataFrame, errors: int = 2, words: int = 3, doc_id: str
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("least"))
     least = linked.join(lows, "root").select("fp", "least")
-    ids = classes.join(least, "fp", "left").select("fp", F.coalesce("least", "low").cast(kind).alias("component_id"))
+    # Written, so that the join below is one of two plain shuffles: Spark splits the fingerprint that very many copies share.
+    ids = cut(classes.join(least, "fp", "left").select("fp", F.coalesce("least", "low").cast(kind).alias("component_id")), "classes")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
