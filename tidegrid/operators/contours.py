@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.basic import exact, mean_of, std_of
+from tidegrid.operators.windows import moving_mean
 
 
 def seaward_contour(df: DataFrame, keys: list[str], t: str, x: str, value: str, thresholds: list[float], least: int = 3) -> DataFrame:
@@ -63,3 +64,10 @@ def crossings(df: DataFrame, keys: list[str], x: str, value: str, level: Column)
     a, b = F.col(value) - level, F.col("_v1") - level
     met = rows.where((F.col(value) != F.col("_v1")) & (a * b <= 0))
     return met.select(*keys, (F.col(x) + (F.col("_x1") - F.col(x)) * (a / (a - b))).alias("xc")).distinct()
+
+
+def smooth_contour(df: DataFrame, keys: list[str], t: str, x: str, value: str, level: float, size: int = 5) -> DataFrame:
+    """(keys, t, x): the seaward-most crossing between nodes, interpolated, as a moving mean over ticks that have one."""
+    found = crossings(df.where(F.col(value).isNotNull()), [*keys, t], x, value, F.lit(float(level)))
+    last = found.groupBy(*keys, t).agg(F.max("xc").alias("_x"))
+    return moving_mean(last, keys, t, "_x", size, scale=1_000_000, name=x).drop("_x")

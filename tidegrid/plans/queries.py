@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import basic, times
 from tidegrid.operators import contours, gaps, geometry, inpaint, planefit, profiles, raster, runup, spectral, stack, stencil, windows
+from tidegrid.plans import pipelines
 from tidegrid.sources import catalog
 from tidegrid.streaming import streams
 
@@ -572,6 +573,15 @@ def curve_crossings(spark, sf_dir):
     return contours.crossings(s, ["ti"], "xi", "z", F.lit(150.0))
 
 
+_CROSSED = f"WITH {STACK}, l AS (SELECT xi, ti, z, lead(xi) OVER (PARTITION BY ti ORDER BY xi) AS x1, lead(z) OVER (PARTITION BY ti ORDER BY xi) AS z1 FROM means), c AS (SELECT ti, CAST(round(max(xi + (x1 - xi) * ((z - 150.0) / ((z - 150.0) - (z1 - 150.0)))) * 1000000.0) AS BIGINT) AS c FROM l WHERE z <> z1 AND (z - 150.0) * (z1 - 150.0) <= 0 GROUP BY ti)"
+
+
+@query(f"{_CROSSED} SELECT ti, CAST(sum(c) OVER (ORDER BY ti ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS DOUBLE) / count(c) OVER (ORDER BY ti ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 1000000.0 AS xi FROM c")
+def contour_smooth(spark, sf_dir):
+    s = event_stack(spark, sf_dir).withColumn("scan", F.lit(0))
+    return contours.smooth_contour(s, ["scan"], "ti", "xi", "z", 150.0).select("ti", "xi")
+
+
 @query(f"WITH {STACK}, s AS (SELECT xi, ti, sign(z - lag(z) OVER (PARTITION BY xi ORDER BY ti)) AS s FROM means), c AS (SELECT xi, s <> lag(s) OVER (PARTITION BY xi ORDER BY ti) AS c FROM s WHERE s IS NOT NULL) SELECT xi, CAST(count(*) FILTER (c) AS BIGINT) AS turns FROM c GROUP BY xi")
 def sign_changes(spark, sf_dir):
     """How often a node's series turns."""
@@ -619,6 +629,25 @@ def runup_track(spark, sf_dir):
     return runup.runup(beach(spark, sf_dir), ["scan"], dt=0.5, threshold=0.1, x_off=40.0)
 
 
+@query()
+def dry_beach(spark, sf_dir):
+    return runup.dry_beach(beach(spark, sf_dir), ["scan"], "x", "ti", "z", 120, 100).groupBy("scan", "x").agg(F.min("sand").alias("low"), F.max("sand").alias("high"))
+
+
+@query()
+def foreshore_slope(spark, sf_dir):
+    own = beach(spark, sf_dir).where("ti % 24 = 0").groupBy("scan", "x").agg(F.min("z").alias("z"), F.var_samp("sand").alias("v"))
+    return profiles.foreshore_slope(own.withColumn("lo", F.lit(0.5)).withColumn("hi", F.lit(3.5)), ["scan"], "x", "z", "v", "lo", "hi", 40.0)
+
+
+@query()
+def l1_surfaces(spark, sf_dir):
+    """Points to surfaces, on points of the tables squeezed to a beach's size."""
+    p = points(spark, sf_dir).select((F.col("i").cast("int") % 2).cast("string").alias("scan_id"), F.col("l_orderkey").alias("pidx"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (2 + F.col("x") / 1000 + F.col("z") % 1 / 100).alias("z"), F.lit(20.0).alias("intensity"), (1.3e9 + F.col("l_linenumber") * 10).alias("gps_s"))
+    o = pipelines.L1([[0.01, 0, 0, 0], [0, 0.01, 0, 0], [0, 0, 1.0, 0]], [(0.0, 0.0), (20.0, 0.0), (20.0, 1.0), (0.0, 1.0)], cell=0.1, least_n=1, least_snr=10.0, passes=((10.0, 0.5),))
+    return pipelines.l1_surfaces(p, o)
+
+
 @query()
 def runup_bulk(spark, sf_dir):
     """From stack to wave heights: tracker, spectrum, bulk, mean level."""
