@@ -29,7 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegrid.llm.common import spread
+
 UNKNOWN = "und"
+#: Languages that one model learns at most; a label table is no larger.
+MOST_LANGUAGES = 10_000
 ORDERS = (1, 2, 3, 4)
 LETTER = regex.compile(r"\p{L}")
 #: Bytes that stand for a border: ASCII white space, digits and marks.
@@ -163,8 +167,13 @@ def fit(df: DataFrame, each: int = 600, doc_id: str = "doc_id", text: str = "tex
     """
     usable = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id))
     keyed = usable.select(F.col(lang).alias("lang"), F.col(doc_id).alias("key"), F.xxhash64(F.lit(11), F.col(doc_id)).alias("h"))
+    keyed = keyed.where(F.col("key").isNotNull())
+    # Of a language's n ids only those in the lowest share of hashes can be among its first: about 4 times as many as are wanted are ranked, whatever n is.
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n_lang"))
+    share = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    low = keyed.withColumn("h", share).join(F.broadcast(counts.orderBy("lang").limit(MOST_LANGUAGES)), "lang").where(F.col("h") * F.col("n_lang") <= 4 * each + 200)
     first = Window.partitionBy("lang").orderBy("h", "key")
-    picked = keyed.where(F.col("key").isNotNull()).withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
+    picked = low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
     bound = F.broadcast(picked.select("lang", "key").distinct())  # `each` rows a language at most
     own = usable.select(F.col(lang).alias("lang"), F.col(doc_id).alias("key"), F.col(text).alias("text"))
     chosen = own.join(bound, ["lang", "key"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text")))).where(F.col("n") <= each)
@@ -190,4 +199,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             gone = [x == UNKNOWN or s < model.least for x, s in zip(lang, score)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], names=[*kept, *new])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
