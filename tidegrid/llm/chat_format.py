@@ -11,7 +11,7 @@ The events of one turn fold in the order of their sequence:
 
 Every event but a delta begins a new state of the text, so the fold is a
 running count: the deltas of a message's last state, joined in order. Turns
-are then rendered row by row, joined within ranges of a conversation, and
+are then rendered row by row, gathered within ranges of a conversation, and
 the ranges joined. Control strings inside texts are escaped reversibly by a
 backslash, so ``parse`` gives back exactly the turns and the loss mask.
 
@@ -39,7 +39,14 @@ OPEN, CLOSE = "<turn>", "</turn>"
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, turn, place, role, text); place tells a turn's messages apart."""
+    """Final messages (conv_id, turn, place, role, text); place tells a turn's messages apart.
+
+    Events are dealt once, by ranges of (conversation, turn): a long
+    conversation spreads over partitions, and all that follows up to the
+    joining of turns stays where it is.
+    """
+    n = max(2, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    events = events.repartitionByRange(n, F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first())
     one = Window.partitionBy("conv_id", "turn").orderBy("seq", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first(), "kind")
     until = one.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = events.select(
@@ -88,19 +95,13 @@ def rendered_turn(role: F.Column, text: F.Column) -> F.Column:
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted) of turns (conv_id, turn, place, role, text): one row a conversation.
 
-    Turns are dealt by ranges of (conversation, turn), so that a long
-    conversation's rows are spread; each range joins its own, and a
-    conversation's few pieces are joined last.
+    Turns are rendered where they are, and each partition's are gathered
+    before the one shuffle, so a long conversation arrives in few pieces.
     """
-    n = max(2, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = turns.repartitionByRange(n, F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "place", "role", F.xxhash64("text"))
-    own = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "place", "role", F.xxhash64("text").alias("h"), "text")
-    tagged = spread.select("conv_id", F.spark_partition_id().alias("piece"), own.alias("t"))
-    lines = F.transform(F.array_sort(F.collect_list("t")), lambda t: rendered_turn(t["role"], t["text"]))
-    # A piece's turns lie in one partition: they are joined before the shuffle.
-    joined = tagged.groupBy("conv_id", "piece").agg(F.array_join(lines, "").alias("part"))
-    pieces = F.array_sort(F.collect_list(F.struct("piece", "part")))
-    return joined.groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda p: p["part"]), "").alias("formatted"))
+    line = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "place", "role", rendered_turn(F.col("role"), F.col("text")).alias("line"))
+    lines = turns.select("conv_id", line.alias("t"))
+    ordered = F.array_sort(F.collect_list("t"))
+    return lines.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda t: t["line"]), "").alias("formatted"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
