@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, langid, mixing, quality, simhash
+from tidegrid.llm import bpe, langid, mixing, near_copies, quality
 from tidegrid.llm.common import cut, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,8 +27,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs, errors=2, words=3)
+    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more."""
+    return near_copies.one_of_each(docs, words=5, least=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
