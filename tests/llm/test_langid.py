@@ -56,3 +56,31 @@ def test_batches_do_not_change_a_prediction(spark):
     together = model.predict(texts)
     alone = [model.predict([t]) for t in texts]
     assert together[0] == [a[0][0] for a in alone] and np.allclose(together[1], [a[1][0] for a in alone])
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "すべての人間は、生まれながらにして自由であり",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+]
+
+
+def test_gibberish_and_foreign_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    r = np.random.default_rng(1)
+    noise = [" ".join("".join(r.choice(list("bcdfghjklmnpqrstvwxz"), int(r.integers(3, 9)))) for _ in range(20)) for _ in range(100)]
+    for some in (docs, docs.where("lang in ('en', 'de')")):
+        model = langid.fit(some)
+
+        def share(texts):
+            lang, score = model.predict(texts)
+            assert "und" not in lang
+            return np.mean([s < model.least for s in score])
+
+        assert share(noise) >= 0.99 and share(FOREIGN) == 1
+        own = [x.text for x in some.where(langid.held_out()).collect()]
+        assert share(own) < 0.01
+    french = [x.text for x in docs.where("lang = 'fr'").collect()]
+    assert share(french) >= 0.95

@@ -4,8 +4,17 @@ A text's subwords are the byte n-grams of its lower-cased words, borders
 included. Each is hashed to a row of an embedding table; their mean goes
 through a linear softmax. Table and softmax are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled rows; a part of
-the sample, held back from training, fits a temperature (so that scores are
-probabilities) and the score under which a prediction is rejected.
+the sample, held back from training, fits a temperature (so that the
+softmax gives probabilities).
+
+The softmax knows only the learned languages. How familiar a text is, that
+is the mean log share that its subwords have in the language that uses each
+most, is set against negatives: held texts scored without their own
+language's shares, and held texts with the letters of each word shuffled. A
+logistic curve makes of it the chance that the text is in a learned language
+at all. The score is the product of both, and a score under ``LEAST`` is
+rejected. The curve's middle counts a lost clean text as much as ``CLEAN``
+passed negatives.
 
 As the mean is linear, prediction needs only each bucket's product with the
 softmax weights: one small table, whatever the text's length. Every text is
@@ -35,6 +44,7 @@ UNKNOWN = "und"
 #: Languages that one model learns at most; a label table is no larger.
 MOST_LANGUAGES = 10_000
 ORDERS = (1, 2, 3, 4)
+LEAST, CLEAN = 0.5, 50
 LETTER = regex.compile(r"\p{L}")
 #: Bytes that stand for a border: ASCII white space, digits and marks.
 BORDER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -74,15 +84,23 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float  # a lower score is rejected
+    familiar: np.ndarray | None = None  # by bucket: log share in the language that uses it most
+    middle: float = 0.0  # familiarity of an even chance
+    slope: float = 0.0
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """Means over each text's subwords, some texts at once."""
+        return self.read(texts)[0]
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, familiarity) of each text."""
         ends = np.cumsum([len(t) for t in texts])
         bucket, place = subwords(b"".join(texts), len(self.table))
         doc = np.searchsorted(ends, place, "right")
         n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
         sums = np.stack([np.bincount(doc, self.table[bucket, k], len(texts)) for k in range(len(self.languages))], axis=1)
-        return sums / n[:, None] + self.bias
+        known = np.zeros(len(texts)) if self.familiar is None else np.bincount(doc, self.familiar[bucket], len(texts)) / n
+        return sums / n[:, None] + self.bias, known
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         return softmax(self.logits(texts) / self.temperature)
@@ -96,8 +114,10 @@ class Model:
             while end < len(some) and (size == 0 or size + len(texts[some[end]]) < 200_000):
                 size += len(texts[some[end]])
                 end += 1
-            p = self.probabilities([prepared(texts[i]) for i in some[start:end]])
-            for i, k, s in zip(some[start:end], p.argmax(1), p.max(1)):
+            z, known = self.read([prepared(texts[i]) for i in some[start:end]])
+            p = softmax(z / self.temperature)
+            chance = logistic(self.slope * (known - self.middle)) if self.slope else np.ones(len(known))
+            for i, k, s in zip(some[start:end], p.argmax(1), p.max(1) * chance):
                 out[i], scores[i] = self.languages[k], float(s)
             start = end
         return out, scores
@@ -108,6 +128,61 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def familiarity(samples: list[tuple[np.ndarray, np.ndarray, int]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By bucket: the greatest log share in a language, that language, and the second greatest; samples are (buckets, counts, language)."""
+    first, second, owner = np.full(buckets, -np.inf), np.full(buckets, -np.inf), np.full(buckets, -1)
+    by: dict[int, list] = {}
+    for rows, count, y in samples:
+        by.setdefault(y, []).append((rows, count))
+    for y, own in sorted(by.items()):
+        n = np.bincount(np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]), buckets)
+        share = np.log((n + 0.1) / (n.sum() + 0.1 * buckets))
+        more = share > first
+        second = np.where(more, first, np.maximum(second, share))
+        first, owner = np.where(more, share, first), np.where(more, y, owner)
+    return first, owner, second
+
+
+def shuffled(text: str, r: np.random.Generator) -> str:
+    return " ".join("".join(r.permutation(list(w))) for w in text.split())
+
+
+def set_rejection(model: Model, held: list[tuple[str, int]], samples: list, r: np.random.Generator) -> None:
+    """Fits the curve of familiarity on held (text, language), whole and in passages, against the negatives made of them."""
+    buckets = len(model.table)
+    first, owner, second = familiarity(samples, buckets)
+    model.familiar, model.least = first, LEAST
+    clean, others = [], []
+    several = len({y for _, _, y in samples}) > 1
+    for text, y in held:
+        words = text.split()
+        at = int(r.integers(max(1, len(words) - 4)))
+        for part in (text, " ".join(words[at : at + int(r.integers(5, 40))])):
+            if not LETTER.search(part):
+                continue
+            bucket, _ = subwords(prepared(part), buckets)
+            clean.append(first[bucket].mean())
+            mixed, _ = subwords(prepared(shuffled(part, r)), buckets)
+            others.append(first[mixed].mean())
+            if several:
+                others.append(np.where(owner[bucket] == y, second[bucket], first[bucket]).mean())
+    if not clean:
+        return
+    clean, others = np.sort(clean), np.sort(others)
+    # Half-way between neighbours, so that a clean text at the edge stays; of equal losses the lowest.
+    edges = np.unique(np.concatenate([clean, others]))
+    at = np.concatenate([[edges[0] - 0.1], (edges[1:] + edges[:-1]) / 2])
+    loss = CLEAN * np.searchsorted(clean, at) / len(clean) + 1 - np.searchsorted(others, at) / len(others)
+    model.middle = float(at[loss.argmin()])
+    x, y = np.concatenate([clean, others]) - model.middle, np.concatenate([np.ones(len(clean)), np.zeros(len(others))])
+    weight = np.where(y == 1, 1 / len(clean), 1 / len(others))
+    model.slope = float(min(np.geomspace(1, 60, 41), key=lambda k: -(weight * np.log(logistic(k * np.where(y == 1, x, -x)) + 1e-12)).sum()))
+
+
 def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 16, epochs: int = 4, rate: float = 1.0, held: int = 5, seed: int = 7) -> Model:
     """SGD over whole texts and one short passage of each; every ``held``-th text calibrates."""
     r = np.random.default_rng(seed)
@@ -117,10 +192,11 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
     label = {x: i for i, x in enumerate(names)}
     e = r.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     w, bias = np.zeros((dim, len(names)), np.float32), np.zeros(len(names), np.float32)
-    samples, calibration = [], []
+    samples, calibration, whole, kept_back = [], [], [], []
     for i, (t, x) in enumerate(zip(texts, langs)):
         if i % held == 0:
             calibration.append((prepared(t), label[x]))
+            kept_back.append((t, label[x]))
             continue
         words = t.split()
         at = int(r.integers(max(1, len(words))))
@@ -129,6 +205,8 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
             if len(bucket):
                 rows, count = np.unique(bucket, return_counts=True)
                 samples.append((rows, (count / len(bucket)).astype(np.float32), label[x]))
+                if part is t:
+                    whole.append((rows, count, label[x]))
     steps = epochs * len(samples)
     for step in range(steps):
         if step % len(samples) == 0:
@@ -145,12 +223,10 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
     model = Model(names, e @ w, bias.astype(np.float64), 1.0, 0.0)
     if calibration:
         z, y = model.logits([c[0] for c in calibration]), np.array([c[1] for c in calibration])
-        grid = np.geomspace(0.02, 20, 61)
+        grid = np.geomspace(0.0005, 20, 91)
         model.temperature = float(min(grid, key=lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()))
-        p = softmax(z / model.temperature)
-        right = p.max(1)[p.argmax(1) == y]
-        # Half of what all but one in a thousand of the correct predictions score: clean texts stay well above it.
-        model.least = float(np.quantile(right, 0.001) / 2) if len(right) else 0.0
+        if whole:
+            set_rejection(model, kept_back, whole, np.random.default_rng(seed + 1))
     return model
 
 
