@@ -636,7 +636,7 @@ def dry_beach(spark, sf_dir):
 
 @query()
 def foreshore_slope(spark, sf_dir):
-    own = beach(spark, sf_dir).where("ti % 24 = 0").groupBy("scan", "x").agg(F.min("z").alias("z"), F.var_samp("sand").alias("v"))
+    own = beach(spark, sf_dir).groupBy("scan", "x").agg(F.min("z").alias("z"), F.var_samp("sand").alias("v"))
     return profiles.foreshore_slope(own.withColumn("lo", F.lit(0.5)).withColumn("hi", F.lit(3.5)), ["scan"], "x", "z", "v", "lo", "hi", 40.0)
 
 
