@@ -13,13 +13,15 @@ forms, comments and scripts, in varying mark-up, with names of classes from
 common lists and at times with none. No page of the corpus is needed for it,
 and training again gives the same weights.
 
-Scripts, styles, comments, titles, templates and form fields are never text.
+Scripts, styles, comments, titles, frames, templates and form fields are never
+text; what stands in a drawing, formula or object is judged like all else.
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by a line break.
 
 Defined results: a null or empty html, and one without main text, give the
 empty text; unclosed and stray tags are tolerated, and a page that ends
-inside a tag, comment or script loses only that; rows with one page_id are
+inside a tag, comment or raw text (script, style, title, textarea, iframe)
+loses only that; rows with one page_id are
 extracted each; other columns pass through, and those named as the output
 are replaced; an empty table gives no rows.
 """
@@ -40,7 +42,9 @@ from pyspark.sql import types as T
 from tidegrid.llm.common import spread
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|select|svg|math|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    # Raw text runs to its end tag or the page's end; the others are skipped only where their own end tag comes first.
+    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|select)(?=[\s/>])[^>]*>(?:(?!<\2[\s/>]).)*?</\2\s*>"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -49,6 +53,9 @@ WORDS = re.compile(r"[A-Za-z]+")
 DIGITS = re.compile(r"\d")
 #: Elements that stand inside a line of text; every other one begins and ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button input".split())
+#: So do drawings, formulas and objects, whose text is the labeller's to judge like that around it.
+INLINE |= frozenset("svg g defs use symbol path circle ellipse rect line polyline polygon text tspan textpath desc image marker pattern mask filter stop clippath lineargradient radialgradient object".split())
+INLINE |= frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mfenced mspace mstyle mpadded mphantom menclose merror semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag may be left out: a new one of the group ends an open one.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -98,13 +105,13 @@ def blocks_of(source: str) -> list[Block]:
         linked = 0
 
     for m in TOKEN.finditer(source):
-        text = m[5]
+        text = m[6]
         if text is not None:
             parts.append(text)
             if anchors:
                 linked += len(text.strip())
             continue
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
@@ -115,7 +122,7 @@ def blocks_of(source: str) -> list[Block]:
             parts.append(" ")
         if tag in VOID:
             continue
-        if m[2]:
+        if m[3]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             # An inline end tag never closes a block; a block's end tag closes what is open inside it.
             if at >= 0 and not (inline and any(s[0] not in INLINE for s in stack[at + 1 :])):
@@ -130,8 +137,8 @@ def blocks_of(source: str) -> list[Block]:
                         break
                     if stack[i][0] not in INLINE:
                         break
-            if not (m[4] or "").endswith("/"):
-                attributes = m[4] or ""
+            if not (m[5] or "").endswith("/"):
+                attributes = m[5] or ""
                 stack.append((tag, path_buckets(tag, attributes if "=" in attributes else "") if not inline else ()))
                 anchors += tag == "a"
     flush()
