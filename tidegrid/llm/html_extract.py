@@ -148,14 +148,16 @@ def blocks_of(source: str) -> list[Block]:
 def vectors(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     x = np.zeros((n, WIDTH), np.float32)
-    path, words, shapes = [], [], []
+    path, words, weights, shapes = [], [], [], []
     for i, b in enumerate(blocks):
         base = i * WIDTH
         for names in b.path:
             for k in names:
                 path.append(base + k)
-        first = b.text.lower().split(None, 12)[:12]
-        words += [base + PATH + bucket("word", w[:12], WORD) for w in first]
+        own = b.text.lower().split()
+        words += [base + PATH + (bucket if len(w) <= 40 else bucket.__wrapped__)("word", w, WORD) for w in own]
+        # A block of up to 12 words adds them up, a longer one has the mean of 12.
+        weights += [0.3 * min(1, 12 / len(own))] * len(own)
         size = len(b.text)
         shapes.append(
             (
@@ -164,7 +166,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
                 min(b.linked / size, 1),
                 b.text[-1] in ".!?…:;\"'»”",
                 (b.text.count(",") + b.text.count(".")) / (1 + size / 20),
-                len(DIGITS.findall(b.text, 0, 200)) / min(size, 200),
+                len(DIGITS.findall(b.text)) / size,
                 i / n,
                 1 / (1 + i),
                 1 / (n - i),
@@ -172,7 +174,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
             )
         )
     x.ravel()[path] = 1
-    np.add.at(x.ravel(), words, np.float32(0.3))
+    np.add.at(x.ravel(), words, np.array(weights, np.float32))
     x[:, PATH + WORD :] = shapes
     return x
 
