@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from tidegrid.llm.common import spread
 
 UNKNOWN = "und"
-#: Languages that one model learns at most; a label table is no larger.
+#: Labels up to which the tables of labels and of chosen ids are broadcast.
 MOST_LANGUAGES = 10_000
 ORDERS = (1, 2, 3, 4)
 LEAST, CLEAN = 0.5, 50
@@ -246,11 +246,13 @@ def fit(df: DataFrame, each: int = 600, doc_id: str = "doc_id", text: str = "tex
     keyed = keyed.where(F.col("key").isNotNull())
     # Of a language's n ids only those in the lowest share of hashes can be among its first: about 4 times as many as are wanted are ranked, whatever n is.
     counts = keyed.groupBy("lang").agg(F.count("*").alias("n_lang"))
+    few = counts.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+    small = F.broadcast if few else lambda t: t
     share = F.shiftrightunsigned("h", 11) / float(1 << 53)
-    low = keyed.withColumn("h", share).join(F.broadcast(counts.orderBy("lang").limit(MOST_LANGUAGES)), "lang").where(F.col("h") * F.col("n_lang") <= 4 * each + 200)
+    low = keyed.withColumn("h", share).join(small(counts), "lang").where(F.col("h") * F.col("n_lang") <= 4 * each + 200)
     first = Window.partitionBy("lang").orderBy("h", "key")
     picked = low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
-    bound = F.broadcast(picked.select("lang", "key").distinct())  # `each` rows a language at most
+    bound = small(picked.select("lang", "key").distinct())  # `each` rows a language at most
     own = usable.select(F.col(lang).alias("lang"), F.col(doc_id).alias("key"), F.col(text).alias("text"))
     chosen = own.join(bound, ["lang", "key"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text")))).where(F.col("n") <= each)
     rows = sorted(((r.key, r.text, r.lang) for r in chosen.select("key", "text", "lang").collect()), key=lambda x: (hash_of(x[0]), x[1], x[2]))
