@@ -6,7 +6,10 @@ encoding if and only if each adjacent pair is, so the last token of prefix
 ``i`` is the one token ``t`` that ends at ``i``, encodes itself, and may
 follow the last token of the prefix before it. Storing these last tokens
 gives an encoder that appends exactly, and that re-encodes after an edit
-only until the new last tokens agree with the old ones.
+only until the new last tokens agree with the old ones (``Prefixes``). Many
+short strings are encoded at once, in numpy, by the same rule (``Together``):
+a trie gives the tokens that begin at any byte, and all strings' prefixes of
+one length are settled in one step.
 
 Defined results: a null text is the empty text and has no tokens; repeated
 rows are encoded each; an empty table gives an empty table; other columns
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import spread
+from tidegrid.llm.common import Cache, slices, spread, texts_of
 
 NO_LIMIT = 1 << 62
 
@@ -39,7 +42,6 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}  # known answers of may_follow, by left << 32 | right
-        self.heads: dict[bytes, int] = {}  # last tokens of short prefixes, which many words share
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -104,7 +106,7 @@ class Vocabulary:
                 limit, a = a, halves(a)[1]
             else:
                 limit, b = b + 1, halves(b)[0]
-        if len(self.pairs) > 500_000:
+        if len(self.pairs) > 50_000:
             self.pairs.clear()
         self.pairs[left << 32 | right] = answer
         return answer
@@ -125,26 +127,19 @@ class Prefixes:
 
     def _fill(self, start: int) -> None:
         data, last, v = bytes(self.data), self.last, self.v
-        known, tokens, heads, longest = v.pairs.get, v.proper.get, v.heads, v.longest
+        known, tokens, longest = v.pairs.get, v.proper.get, v.longest
         for end in range(start, len(data) + 1):
-            head = data[:end] if end <= 24 else None
-            t = heads.get(head)
-            if t is None:
-                for begin in range(end - longest if end > longest else 0, end):
-                    t = tokens(data[begin:end])
-                    if t is not None:
-                        if not begin:
-                            break
-                        before = last[begin]
-                        ok = known(before << 32 | t)
-                        if v.may_follow(before, t) if ok is None else ok:
-                            break
-                else:
-                    raise ValueError("a byte has no token")
-                if head is not None:
-                    if len(heads) > 500_000:
-                        heads.clear()
-                    heads[head] = t
+            for begin in range(end - longest if end > longest else 0, end):
+                t = tokens(data[begin:end])
+                if t is not None:
+                    if not begin:
+                        break
+                    before = last[begin]
+                    ok = known(before << 32 | t)
+                    if v.may_follow(before, t) if ok is None else ok:
+                        break
+            else:
+                raise ValueError("a byte has no token")
             last.append(t)
 
     def edit(self, at: int, removed: int, inserted: bytes) -> int:
@@ -177,79 +172,270 @@ class Prefixes:
         return out[::-1]
 
 
+class Lookup:
+    """Whole numbers (0 or more) by whole numbers (0 or more), very many at once: open addressing in numpy."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(65 - size.bit_length()), size - 1
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        at, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[at[rest]] < 0]
+            self.keys[at[free]] = keys[free]  # of several for one slot the last stays, the others go on
+            won = free[self.keys[at[free]] == keys[free]]
+            self.values[at[won]] = values[won]
+            rest = rest[self.keys[at[rest]] != keys[rest]]
+            at[rest] = (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            there = self.keys[at[rest]]
+            own = there == keys[rest]
+            out[rest[own]] = self.values[at[rest[own]]]
+            rest = rest[~own & (there >= 0)]
+        return out
+
+
+class Together:
+    """The last tokens of all prefixes of many byte strings at once."""
+
+    def __init__(self, v: Vocabulary, slots: int = 1 << 19):
+        n = max(v.token_bytes) + 1
+        self.length, self.left, self.right = (np.zeros(n, np.int64) for _ in range(3))
+        edges: dict[int, int] = {}  # of the trie: node << 8 | byte, to a node; 0 is the root
+        at_node = [-1]
+        joins = []
+        for data, t in v.ranks.items():
+            self.length[t] = len(data)
+            for i in range(1, len(data)):
+                a, b = v.ranks.get(data[:i]), v.ranks.get(data[i:])
+                if a is not None and b is not None:
+                    joins.append((a << 32 | b, t))
+            halves = v.halves(t)
+            if halves is None:
+                continue
+            self.left[t], self.right[t] = halves
+            node = 0
+            for byte in data:
+                key = node << 8 | byte
+                node = edges.get(key, -1)
+                if node < 0:
+                    node = edges[key] = len(at_node)
+                    at_node.append(-1)
+            at_node[node] = t
+        self.token = np.array(at_node, np.int64)
+        self.child = Lookup(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges)))
+        self.joined = Lookup(np.array([j[0] for j in joins], np.int64), np.array([j[1] for j in joins], np.int64))
+        # Answers of may_follow, one a slot; a newer one takes the slot.
+        self.shift = np.uint64(65 - slots.bit_length())
+        self.asked, self.answers = np.full(slots, -1, np.int64), np.zeros(slots, bool)
+
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Vocabulary.may_follow`` of each pair."""
+        key = left << 32 | right
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.asked[slot] != key)
+        if len(new):
+            own, back = np.unique(key[new], return_inverse=True)
+            told = self._undone(own >> 32, own & 0xFFFFFFFF)
+            out[new] = told[back]
+            slot = ((own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+            self.asked[slot] = own
+            kept = self.asked[slot] == own
+            self.answers[slot[kept]] = told[kept]
+        return out
+
+    def _undone(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        answer, at, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), NO_LIMIT)
+        while len(at):
+            join = self.joined.get(a << 32 | b).astype(np.int64)
+            bad = (join >= 0) & (join < limit)
+            answer[at[bad]] = False
+            one_a, one_b = self.length[a] == 1, self.length[b] == 1
+            go = ~bad & ~(one_a & one_b)
+            at, a, b, one_a, one_b = (x[go] for x in (at, a, b, one_a, one_b))
+            undo_left = np.where(a > b, ~one_a, one_b)
+            limit = np.where(undo_left, a, b + 1)
+            a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
+        return answer
+
+    def last(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """By byte, the last token of its string's prefix that ends with it. data: uint8; strings lie side by side."""
+        own_start, own_end = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
+        begins, tokens, stops = [], [], []
+        at, node, depth = np.arange(len(data)), np.zeros(len(data), np.int64), 0
+        while len(at):
+            node = self.child.get(node << 8 | data[at + depth]).astype(np.int64)
+            ok = node >= 0
+            at, node = at[ok], node[ok]
+            depth += 1
+            t = self.token[node]
+            is_token = t >= 0
+            begins.append(at[is_token])
+            tokens.append(t[is_token])
+            stops.append(at[is_token] + depth)
+            ok = at + depth < own_end[at]
+            at, node = at[ok], node[ok]
+        begin, token, stop = np.concatenate(begins), np.concatenate(tokens), np.concatenate(stops)
+        size = stop - own_start[begin]
+        order = np.argsort(size.astype(np.uint16) if len(size) and size.max() < 1 << 16 else size, kind="stable")
+        begin, token, stop, size = begin[order], token[order], stop[order], size[order]
+        first = begin == own_start[begin]
+        last = np.full(len(data), -1, np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1], [True]])) if len(size) else [0]
+        for i, j in zip(edges, edges[1:]):
+            b, t = begin[i:j], token[i:j]
+            ok = first[i:j].copy()
+            later = np.flatnonzero(~ok)
+            ok[later] = self.may_follow(last[b[later] - 1], t[later])
+            last[stop[i:j][ok] - 1] = t[ok]
+        return last
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each as little-endian 32-bit integers; none of the strings may be empty."""
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        starts = np.concatenate([[0], ends[:-1]])
+        last = self.last(data, starts, ends)
+        if (last < 0).any():
+            raise ValueError("a byte has no token")
+        count, rounds = np.zeros(len(pieces), np.int64), []
+        who, at = np.arange(len(pieces)), ends.copy()
+        while len(who):
+            t = last[at - 1]
+            rounds.append((who, t))
+            count[who] += 1
+            at = at - self.length[t]
+            more = at > starts[who]
+            who, at = who[more], at[more]
+        stop = np.cumsum(count)
+        flat = np.empty(int(count.sum()), "<i4")
+        for r, (who, t) in enumerate(rounds, 1):
+            flat[stop[who] - r] = t
+        raw, edges = flat.tobytes(), (4 * np.concatenate([[0], stop])).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+
 class TextEncoder:
-    """Whole texts to ids: the pattern's matches each encoded by ``Prefixes``, repeated words looked up.
+    """Whole texts to ids: the pattern's matches that are not known yet are encoded ``Together``.
 
     The pattern never matches across a step from other characters to white
-    space, so what lies between two single spaces, with the space before
-    it, is encoded alike wherever it stands. Such units are cached, up to a
-    number of entries; texts with other runs of white space take the
-    pattern over the whole text.
+    space, so what lies between two single spaces, with the space before it,
+    is encoded alike wherever it stands. Such units are looked up first; of
+    those not known the pattern's matches are. A text with other runs of
+    white space takes the pattern over all of it. Long texts are taken in
+    parts that begin at such a step.
     """
 
-    def __init__(self, vocabulary: Vocabulary, entries: int = 200_000):
-        self.v, self.entries = vocabulary, entries
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, dict[str, bytes]] = {"pieces": {}, "units": {}}
-
-    def _keep(self, kind: str, key: str, value: bytes, most: int) -> None:
-        """Into the cache; a full one becomes the older one, from which what is met again comes back."""
-        held = getattr(self, kind)
-        if len(held) >= most:
-            self.older[kind] = held
-            setattr(self, kind, held := {})
-        held[key] = value
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.older["pieces"].get(piece)
-            if found is None:
-                data = piece.encode("utf-8", "surrogatepass")
-                whole = self.v.ranks.get(data)
-                ids = [whole] if whole is not None else Prefixes(self.v, data).tokens()
-                found = struct.pack(f"<{len(ids)}i", *ids)
-            if len(piece) <= 64:
-                self._keep("pieces", piece, found, 2 * self.entries)
-        return found
+    LONG_PIECE = 256  # bytes; longer ones would be alone in their last steps
+
+    def __init__(self, vocabulary: Vocabulary, entries: int = 150_000, part: int = 1 << 20):
+        self.v, self.part = vocabulary, part
+        self.units, self.pieces = Cache(entries), Cache(entries // 2)
+
+    @functools.cached_property
+    def together(self) -> Together:
+        return Together(self.v)
+
+    @functools.cached_property
+    def step(self):
+        import regex
+
+        return regex.compile(r"(?<=\S)\s")
 
-    def matched(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.v.pattern.findall(text)))
-
-    def unit(self, unit: str) -> bytes | None:
-        """Of a space and this word; None where the spaces around it aren't single."""
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            return None
-        found = self.older["units"].get(unit)
-        if found is None:
-            # Letters alone, or with one mark behind them, are what the pattern would match.
-            if unit.isalpha():
-                found = self.piece(" " + unit)
-            elif unit[-1] in ".,;:!?" and unit[:-1].isalpha():
-                found = self.piece(" " + unit[:-1]) + self.piece(unit[-1])
+    def parts(self, text: str) -> list[str]:
+        out, start = [], 0
+        while len(text) - start > self.part:
+            cut = self.step.search(text, start + self.part)
+            if cut is None:
+                break
+            out.append(text[start : cut.start()])
+            start = cut.start()
+        return [*out, text[start:]] if start else [text]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers. Some parts at a time, so that the strings in memory are bounded."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for part in self.parts(text):
+                words = part.split(" ")
+                ids = list(map(self.units.now.get, words))
+                ids[0] = None  # the first has no space before it
+                held.append((i, part, words, ids))
+                size += len(part)
+                if size > self.part:
+                    self._settle(held, out)
+                    held, size = [], 0
+        self._settle(held, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _settle(self, held: list, out: list[list[bytes]]) -> None:
+        """Adds the ids of (text's index, part, its words, their ids where known)."""
+        units, by_pattern, whole, find = {}, [], set(), self.v.pattern.findall
+        for n, (_, part, words, ids) in enumerate(held):
+            holes = [w for w, x in zip(words, ids) if x is None]
+            first = holes[0]
+            if len(words) > 1 and (not first or first[-1].isspace()) or any(not w or w[0].isspace() or w[-1].isspace() for w in holes[1:]):
+                by_pattern.append(find(part))
+                whole.add(n)
+            else:
+                by_pattern.append(find(first))
+                units.update(dict.fromkeys(holes[1:]))
+        new = [w for w in units if w not in self.units.older]
+        units |= {w: self.units.older[w] for w in units if w in self.units.older}
+        matches = find(f" {' '.join(new)}") if new else []
+        known = self.learn(dict.fromkeys(matches).keys() | {m for own in by_pattern for m in own})
+        # Each unit begins with the one space that it has.
+        parts, edges = list(map(known.__getitem__, matches)), [k for k, m in enumerate(matches) if m[0] == " "]
+        edges.append(len(matches))
+        for w, a, b in zip(new, edges[:-1], edges[1:], strict=True):
+            units[w] = parts[a] if b == a + 1 else b"".join(parts[a:b])
+        self.units.put(units)
+        for n, (i, part, words, ids) in enumerate(held):
+            ids[0] = b"".join(map(known.__getitem__, by_pattern[n]))
+            if n in whole:
+                out[i].append(ids[0])
             else:
-                found = self.matched(" " + unit)
-        if len(unit) <= 64:
-            self._keep("units", unit, found, self.entries)
+                out[i].append(b"".join([units[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids))
+
+    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of these pieces."""
+        found, new, raw = {}, [], []
+        now, older, ranks = self.pieces.now, self.pieces.older, self.v.ranks
+        for piece in pieces:
+            ids = now.get(piece)
+            if ids is None:
+                ids = older.get(piece)
+            if ids is None:
+                data = piece.encode("utf-8", "surrogatepass")
+                if data in ranks:
+                    ids = struct.pack("<i", ranks[data])
+                elif len(data) > self.LONG_PIECE:
+                    own = Prefixes(self.v, data).tokens()
+                    ids = struct.pack(f"<{len(own)}i", *own)
+                else:
+                    new.append(piece)
+                    raw.append(data)
+                    continue
+            found[piece] = ids
+        found.update(zip(new, self.together.encode(raw) if raw else []))
+        self.pieces.put(found)
         return found
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        head, *rest = text.split(" ")
-        if rest and (not head or head[-1].isspace()):
-            return self.matched(text)
-        found = list(map(self.units.get, rest))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = ids = self.unit(rest[i])
-                    if ids is None:
-                        return self.matched(text)
-        return b"".join([self.matched(head), *found])
-
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<i4").tolist()
+        return np.frombuffer(self.packed([text])[0], "<i4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.token_bytes.__getitem__, ids))
@@ -271,14 +457,12 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", id
 
     def run(batches):
         own = encoder(path, pattern)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                packed = [own.packed("" if x is None else x) for x in batch.column(text).to_pylist()]
-                flat = np.frombuffer(b"".join(packed), "<i4")
-                offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                back = [own.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]
-                columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(back, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
+        for batch in slices(batches, text):
+            packed = own.packed(texts_of(batch.column(text)))
+            flat = np.frombuffer(b"".join(packed), "<i4")
+            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+            back = [own.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]
+            columns = [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(back, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
 
     return spread(df.select(*kept)).mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,36 @@ def as_text(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, rows: int = 512, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, at most ``rows`` at once and, where a single row isn't longer, ``most`` bytes of this column: what a worker holds as Python objects is bounded by that."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python texts of an Arrow column, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+class Cache:
+    """Values by short strings. A full cache becomes the older one, from which what is met again comes back."""
+
+    LONGEST = 64
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def put(self, found: dict[str, bytes]) -> None:
+        if len(self.now) + len(found) > self.entries:
+            self.older, self.now = self.now, {}
+        self.now.update((k, v) for k, v in found.items() if len(k) <= self.LONGEST)
