@@ -31,10 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import open_fs, scratch, written_files
+from tidegrid.llm.common import Cache, open_fs, scratch, slices, written_files
 
 MAGIC, BLOCK = b"TGBITS01", 4096
-MARKS = ".,;:!?"
 FOOTER = struct.Struct("<QQQQ8s")
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 SPANS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -148,80 +147,76 @@ class Reader:
 
 
 class CachedTokenizer:
-    """The tokenizers library, with what lies between two single spaces encoded once.
+    """The tokenizers library, with what lies between two single spaces cached.
 
     Byte-level pre-tokenisation never joins white space to what stands
     before it, so a word with the single space before it is encoded alike
-    wherever it stands. Texts with other runs of white space and texts that
-    hold a special token's string go to the library whole.
+    wherever it stands. All such words of a batch that are not known go to
+    the library as one text; a word's ids begin where a token begins with a
+    space, for it has no other. Texts with other runs of white space and
+    texts that hold a special token's string go to the library whole.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 300_000, part: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.entries = Tokenizer.from_file(path), entries
+        self.library, self.part = Tokenizer.from_file(path), part
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.units = Cache(entries)
+        self.opens = np.zeros(self.size, bool)  # tokens that begin with a space, which byte-level vocabularies spell so
+        for token, i in self.library.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120") and token not in self.special
+        self.splits = not any(" " in s for s in self.special)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple] = []
-        whole, missing = [], {}
+        """Little-endian 32-bit ids of each text, some texts at a time."""
+        out, start = [], 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size < self.part):
+                size += len(texts[end])
+                end += 1
+            out += self._some(texts[start:end])
+            start = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        split, whole, units, heads = [], [], {}, {}
         for i, text in enumerate(texts):
             words = text.split(" ")
-            if "\0" in text or any(s in text for s in self.special) or len(words) < 2 or not words[0] or words[0][-1].isspace():
+            ids = list(map(self.units.now.get, words))
+            ids[0] = None  # the first has no space before it
+            holes = [w for w, x in zip(words, ids) if x is None]
+            first = holes[0]
+            if not self.splits or any(map(text.__contains__, self.special)) or not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in holes[1:]):
                 whole.append(i)
-                continue
-            words[0] = "\0" + words[0]  # the text's first word has no space before it; no other unit begins so
-            found = list(map(self.units.get, words))
-            holes = [k for k, ids in enumerate(found) if ids is None] if None in found else []
-            for k in holes:
-                w = words[k]
-                if w in self.older:
-                    self.units[w] = found[k] = self.older[w]
-                elif not w or w[0].isspace() or w[-1].isspace():
-                    whole.append(i)
-                    break
-                elif w[-1] in MARKS and w[:-1].isalpha():
-                    # The pattern parts letters from the mark behind them, so both are units of their own.
-                    for own in (w[:-1], "\0" + w[-1]):
-                        if own not in self.units:
-                            missing[own] = b""
-                else:
-                    missing[w] = b""
             else:
-                split.append((i, words, found, holes))
-        if missing:
-            keys = list(missing)
-            for w, ids in zip(keys, self._library([w[1:] if w[0] == "\0" else " " + w for w in keys]), strict=True):
-                missing[w] = ids
-
-        def known(w: str) -> bytes:
-            ids = self.units.get(w)
-            if ids is None:
-                ids = missing.get(w)
-            if ids is None:
-                ids = known(w[:-1]) + known("\0" + w[-1])
-                self.units[w] = ids
-            return ids
-
-        for i, words, found, holes in split:
-            for k in holes:
-                if found[k] is None:
-                    found[k] = known(words[k])
-            out[i] = b"".join(found)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else [], strict=True):
+                heads[first] = b""
+                units.update(dict.fromkeys(holes[1:]))
+                split.append((i, words, ids))
+        older = self.units.older
+        new = [w for w in units if w not in older]
+        units |= {w: older[w] for w in units if w in older}
+        parts = [texts[i] for i in whole] + list(heads)
+        encoded = self._library([*parts, f" {' '.join(new)}"] if new else parts) if parts or new else []
+        for i, ids in zip(whole, encoded):
             out[i] = ids
-        self.units.update((w, x) for w, x in missing.items() if len(w) <= 64)
-        if len(self.units) >= self.entries:
-            self.older, self.units = self.units, {}
+        heads = dict(zip(heads, encoded[len(whole) : len(parts)], strict=True))
+        if new:
+            raw = encoded[-1]
+            edges = (4 * np.append(np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]), len(raw) // 4)).tolist()
+            for w, a, b in zip(new, edges[:-1], edges[1:], strict=True):
+                units[w] = raw[a:b]
+        self.units.put(units)
+        for i, words, ids in split:
+            ids[0] = heads[words[0]]
+            out[i] = b"".join([units[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids)
         return out
 
 
@@ -242,15 +237,13 @@ def write(df: DataFrame, path: str, folder: str, end_id: int | None, doc_id: str
         from pyspark import TaskContext
 
         own, name, out = tokenizer(path), "", None
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                if out is None:
-                    name, stream = create(".bits")
-                    out = Writer(stream, bits_for(own.size))
-                for key, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1).to_pylist()), strict=True):
-                    got = np.frombuffer(ids, "<u4")
-                    out.add(key, got if end_id is None else np.append(got, np.uint32(end_id)))
+        for batch in slices(batches, 1):
+            if out is None:
+                name, stream = create(".bits")
+                out = Writer(stream, bits_for(own.size))
+            for key, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1).to_pylist()), strict=True):
+                got = np.frombuffer(ids, "<u4")
+                out.add(key, got if end_id is None else np.append(got, np.uint32(end_id)))
         if out is not None:
             out.close()
             yield {"path": name, "shard": TaskContext.get().partitionId(), "n_docs": len(out.docs), "n_ids": out.n_ids}
