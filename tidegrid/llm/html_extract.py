@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import spread
+from tidegrid.llm.common import slices, spread
 
 TOKEN = re.compile(
     # Raw text runs to its end tag or the page's end; the others are skipped only where their own end tag comes first.
@@ -341,10 +341,8 @@ def extract(df: DataFrame, model: Labeller | None = None, html: str = "html", te
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(text, T.StringType())])
 
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                texts = extract_text(model, batch.column(html).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], names=[*kept, text])
+        for batch in slices(batches, html):
+            texts = extract_text(model, batch.column(html).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], names=[*kept, text])
 
     return spread(df).mapInArrow(run, schema)

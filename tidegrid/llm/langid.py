@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import spread
+from tidegrid.llm.common import slices, spread
 
 UNKNOWN = "und"
 #: Labels up to which the tables of labels and of chosen ids are broadcast.
@@ -272,7 +272,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             lang, score = model.predict(batch.column(text).to_pylist())
             gone = [x == UNKNOWN or s < model.least for x, s in zip(lang, score)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], names=[*kept, *new])

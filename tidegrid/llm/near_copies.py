@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm import simhash
-from tidegrid.llm.common import cut, spread
+from tidegrid.llm.common import cut, slices, spread
 from tidegrid.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -86,19 +86,17 @@ def prints(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     )
 
     def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                cls, fp, bands, sets = [], [], [], []
-                for t in batch.column(1).to_pylist():
-                    h = hashes_of(t, words)
-                    s = np.unique(h)
-                    cls.append(class_of(s))
-                    fp.append(majority(h))
-                    bands.append(bands_of(s))
-                    sets.append(s.tobytes())
-                fp = np.array(fp, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(fp), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=schema.names)
+        for batch in slices(batches, 1):
+            cls, fp, bands, sets = [], [], [], []
+            for t in batch.column(1).to_pylist():
+                h = hashes_of(t, words)
+                s = np.unique(h)
+                cls.append(class_of(s))
+                fp.append(majority(h))
+                bands.append(bands_of(s))
+                sets.append(s.tobytes())
+            fp = np.array(fp, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(fp), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=schema.names)
 
     return spread(df.select(doc_id, text)).mapInArrow(run, schema)
 
@@ -206,7 +204,7 @@ def class_column(df: DataFrame, text: str, words: int) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("~cls", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             own = [class_of(np.unique(hashes_of(t, words))) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, "~cls"])
 

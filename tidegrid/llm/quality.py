@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import spread
+from tidegrid.llm.common import slices, spread
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -149,7 +149,7 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     arrow = {"LongType()": pa.int64(), "DoubleType()": pa.float64(), "BooleanType()": pa.bool_()}
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             rows = [measure(t) for t in batch.column(text).to_pylist()]
             own = [pa.array([r[n] for r in rows], arrow[str(k)]) for n, k in NEW]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + own, names=[*kept, *names])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import cut, spread
+from tidegrid.llm.common import cut, slices, spread
 from tidegrid.llm.components import components
 
 BITS, SEED = 64, 42
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             own = np.array([fingerprint_of(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], names=["doc_id", "fp"])
 
@@ -204,7 +204,8 @@ LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.Lon
 
 def links(distinct: DataFrame, errors: int = 2) -> DataFrame:
     """(u, v): fingerprints that join all of the column fp that are within ``errors`` bits of each other."""
-    n = max(2, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A task gets about a million fingerprints at most, however many there are.
+    n = max(2, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(errors + 1) * distinct.count() // 1_000_000))
     rows = dealt(distinct, errors, n)
     widths = np.array([w for _, w in blocks(errors)])
 
@@ -265,7 +266,7 @@ def fingerprint_column(df: DataFrame, text: str, words: int) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("~fp", T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text):
             own = np.array([fingerprint_of(t, words) for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "~fp"])
 
