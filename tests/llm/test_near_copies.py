@@ -63,6 +63,36 @@ def test_documents_against_every_pair(spark):
     assert {x.doc_id for x in near_copies.one_of_each(df).collect()} == plain_kept(rows)
 
 
+def test_large_keys_are_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for n in range(90):
+        k = r.randrange(3) if n % 2 else r.randrange(4, 30)
+        at = r.randrange(120)
+        rows.append((n, " ".join(base[:at] + [f"x{r.randrange(4)}y{i}" for i in range(k)] + base[at + k :])))
+    tasks = []
+    monkeypatch.setattr(near_copies, "blocks_of", lambda hard, f=near_copies.blocks_of: tasks.append(f(hard).cache()) or tasks[-1])
+    df = spark.createDataFrame([(*x, "s") for x in rows], SCHEMA)
+    kept = {x.doc_id for x in near_copies.one_of_each(df).collect()}
+    assert kept == plain_kept(rows) and 1 < len(kept) < 60
+    sizes = tasks[0].groupBy("key", "i", "j").count()
+    assert sizes.where("i > 0").count() and sizes.where("i < 0").count() and sizes.where("j > 0").count()
+
+
+def test_blocks_hold_every_pair_outside_main(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    hard = spark.createDataFrame([(1, c, c if c >= 17 else 0, c < 17, 17, 13) for c in range(30)], "key long, cls long, cluster long, main boolean, n_in long, n_out long")
+    met, per_task = set(), {}
+    for x in near_copies.blocks_of(hard).collect():
+        per_task.setdefault((x.i, x.j), []).append(x.cls)
+    for own in per_task.values():
+        assert len(own) < 24
+        met |= {(a, b) for a in own for b in own if a < b}
+    assert {(a, b) for a in range(30) for b in range(17, 30) if a < b} <= met
+
+
 def test_components_of_sets_against_every_pair():
     r = np.random.default_rng(3)
     base = [r.choice(300, 60, replace=False) for _ in range(4)]

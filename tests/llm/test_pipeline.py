@@ -8,7 +8,7 @@ import tiktoken
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from tests.llm.test_mixing import plain_targets  # noqa: E402
-from tests.llm.test_simhash import plain_components  # noqa: E402
+from tests.llm.test_near_copies import plain_kept  # noqa: E402
 from tidegrid.llm import bpe, langid, quality  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -26,8 +26,7 @@ def test_stages_against_plain_versions(spark):
     assert len(now) > 190
     now = [r for r in now if quality.measure(r["text"])["kept"]]
 
-    groups = plain_components([(r["doc_id"], r["text"]) for r in now])
-    stay = {int(c) for _, _, c in groups}
+    stay = plain_kept([(r["doc_id"], r["text"]) for r in now])
     now = [r for r in now if r["doc_id"] in stay]
 
     sizes = Counter()

@@ -2,15 +2,20 @@
 
 SimHash alone does not reach a similarity of 0.8: at that similarity about
 ten of 64 bits differ, and a budget of ten bits leaves trie blocks so short
-that the join grows with the square of the table. So candidates are the
-pairs that SimHash's trie links and those that agree in one of ``BANDS``
-bands of ``ROWS`` MinHash values each. A pair of similarity 0.8 agrees in
-none with a chance of 3 in a million, a closer pair with less.
-
-Candidates decide nothing. Documents with the same set of shingles are one
-class; the classes that candidate links join meet in one task with their
-whole sets, and there the similarity of every pair that can reach ``least``
-is counted exactly. Each class's set travels once, whatever its bands.
+that the join grows with the square of the table. So what may be similar is
+gathered by keys: the component that SimHash's trie links, and ``BANDS``
+bands of ``ROWS`` MinHash values each. A pair of similarity 0.8 agrees in no
+band with a chance of 3 in a million, a closer pair with less.
+
+Keys decide nothing. Documents with the same set of shingles are one class,
+and the similarity of classes is counted exactly on their whole texts, in
+two steps. First each class of a key meets the key's least class, as plain
+pairs; the classes that pass are joined to clusters. A key whose classes
+then are one cluster, as those of a group of copies of any size are, is done.
+Of the other keys with three classes or more, those outside the cluster of
+the least class meet it and each other, in tasks of ``BLOCK`` classes of
+either side at most, so that no task holds a whole group; the work grows with
+the square of the classes outside.
 
 Defined results: words are lower-cased (ASCII) and split at white space, as
 for the fingerprint; a text of fewer words than a shingle is one shingle;
@@ -31,7 +36,7 @@ from tidegrid.llm import simhash
 from tidegrid.llm.common import cut, slices, spread
 from tidegrid.llm.components import components
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS, BLOCK = 32, 5, 1024
 _r = np.random.default_rng(9)
 #: Odd multipliers, one for each MinHash value.
 _factors = _r.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,51 +85,83 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def prints(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, cls, fp, bands, shingles): the class, the fingerprint, the bands' keys and the sorted set of each row."""
-    schema = T.StructType(
-        [T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
-    )
+    """(doc_id, cls, fp, bands, n, text): the class, the fingerprint, the bands' keys and the number of distinct shingles of each row."""
+    fields = [T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("text", T.StringType())]
+    schema = T.StructType(fields)
 
     def run(batches):
         for batch in slices(batches, 1):
-            cls, fp, bands, sets = [], [], [], []
+            cls, fp, bands, n = [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = hashes_of(t, words)
                 s = np.unique(h)
                 cls.append(class_of(s))
                 fp.append(majority(h))
                 bands.append(bands_of(s))
-                sets.append(s.tobytes())
+                n.append(len(s))
             fp = np.array(fp, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(fp), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(fp), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64()), batch.column(1)], names=schema.names)
 
     return spread(df.select(doc_id, text)).mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame, errors: int) -> DataFrame:
-    """(u, v): links of classes (cls, fp, bands) that may be near-duplicates; what one band's key or one fingerprint's links join is linked to its least class."""
+def keyed(classes: DataFrame, errors: int) -> DataFrame:
+    """(key, cls, n, v, vn, members) of the classes (cls, fp, bands, n) that share a key with others; v is the key's least class and vn its n."""
+    near = components(simhash.links(classes.select("fp").distinct(), errors))
+    by_print = classes.select("cls", "n", "fp").join(near, F.col("fp") == near.node, "left").select("cls", "n", F.xxhash64(F.lit("print"), F.coalesce("root", "fp")).alias("key"))
+    keys = by_print.union(classes.select("cls", "n", F.explode("bands")))
+    low = keys.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("low"), F.count("*").alias("members")).where("members > 1")
+    return keys.join(low, "key").select("key", "cls", "n", F.col("low.cls").alias("v"), F.col("low.n").alias("vn"), "members")
+
 
-    def star(rows: DataFrame) -> DataFrame:
-        low = rows.groupBy("key").agg(F.min("cls").alias("v"), F.max("cls").alias("high")).where("v < high").select("key", "v")
-        return rows.join(low, "key").where("cls > v").select(F.col("cls").alias("u"), "v")
+def passing(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of the class pairs (u, v) whose similarity is ``least`` or more."""
+    own = texts.select(F.col("cls").alias("u"), F.col("text").alias("text_u"))
+    other = texts.select(F.col("cls").alias("v"), F.col("text").alias("text_v"))
 
-    by_print = classes.groupBy("fp").agg(F.min("cls").alias("low"))
-    near = simhash.links(by_print.select("fp"), errors)
-    u, v = by_print.select(F.col("fp").alias("u"), F.col("low").alias("low_u")), by_print.select(F.col("fp").alias("v"), F.col("low").alias("low_v"))
-    across = near.join(u, "u").join(v, "v").select(F.col("low_u").alias("u"), F.col("low_v").alias("v"))
-    return star(classes.select("cls", F.explode("bands").alias("key"))).union(star(classes.select("cls", F.col("fp").alias("key")))).union(across)
+    def run(batches):
+        last, held = None, None
+        for batch in slices(batches, 2):
+            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for x, y, a, b in zip(u, v, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if y != last:
+                    last, held = y, np.unique(hashes_of(b, words))
+                s = np.unique(hashes_of(a, words))
+                shared = len(np.intersect1d(s, held, assume_unique=True))
+                keep.append(shared >= least * (len(s) + len(held) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(own, "u").join(other, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+
+
+def blocks_of(hard: DataFrame) -> DataFrame:
+    """(key, i, j, cls, cluster): the classes of each key (key, cls, cluster, main, n_in, n_out), main those of the least class's cluster, dealt to tasks in which every pair that is not within main meets."""
+    n_in, n_out = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("n_in", "n_out"))
+    sized = hard.withColumns({"b_in": n_in, "b_out": n_out, "h": F.xxhash64(F.lit(3), "cls")})
+    at_in, at_out = F.pmod("h", F.col("b_in")).cast("int"), F.pmod("h", F.col("b_out")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # i >= 0: block i of main with block j of the others; i < 0: block -1-i of the others with block j of them, -1-i <= j.
+    inside = F.transform(upto(F.col("b_out")), lambda j: F.struct(at_in.alias("i"), j.alias("j")))
+    outside = F.concat(
+        F.transform(upto(F.col("b_in")), lambda i: F.struct(i.alias("i"), at_out.alias("j"))),
+        F.when(F.col("b_out") > 1, F.transform(upto(F.col("b_out")), lambda k: F.struct((-1 - F.least(k, at_out)).alias("i"), F.greatest(k, at_out).alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
+    )
+    return sized.withColumn("task", F.explode(F.when(F.col("main"), inside).otherwise(outside))).select("key", "task.i", "task.j", "cls", "cluster")
 
 
-def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
+def similar(sets: list[np.ndarray], least: float, root: np.ndarray | None = None) -> np.ndarray:
     """For each of these sets of distinct values the first index of its component under Jaccard similarity ``least`` or more.
 
+    root: components that are known already, by their first indices.
+
     Two sets that similar share one of the first values of each, in any order
     of values: of n values all but ceil(least * n) and one more. Rare values
     come first. Whole intersections are counted for sets that so meet one of
     another component.
     """
     n = len(sets)
-    root = np.arange(n)
+    root = np.arange(n) if root is None else root.copy()
     size = np.array([len(s) for s in sets])
     values, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.empty(len(values), np.int64)
@@ -160,22 +197,38 @@ def _owners(postings: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> np.n
     return np.concatenate([owners[a:b] for a, b in zip(at[values], at[values + 1])]) if len(values) else owners[:0]
 
 
-def groups(rows: DataFrame, least: float, errors: int) -> DataFrame:
+def groups(rows: DataFrame, words: int, least: float, errors: int) -> DataFrame:
     """(cls, own) of the classes of these prints that have near-duplicates among other classes: own is the group's least class."""
-    classes = rows.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("cls != 0")
-    linked = components(candidates(cut(classes, "classes"), errors))
-    sets = rows.select("cls", "shingles").join(linked, F.col("cls") == F.col("node")).select("root", "cls", "shingles").dropDuplicates(["cls"])
+    found = rows.where("cls != 0").groupBy("cls").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    classes = cut(found, "classes")
+    held = cut(keyed(classes, errors), "keys")
+    # One row stands for its class, so no class that many rows share meets in one task.
+    texts = cut(rows.select("row", "text").join(classes.select("row", "cls").join(held.select("cls").distinct(), "cls"), "row").select("cls", "text"), "texts")
+    fits = F.least("n", "vn") >= least * F.greatest("n", "vn") - 1e-9
+    pairs = held.where((F.col("cls") != F.col("v")) & fits).select(F.col("cls").alias("u"), "v").distinct()
+    sure = cut(passing(pairs, texts, words, least), "links")
+    clusters = components(sure).withColumnRenamed("node", "cls")
+    # What the first step has left open: keys of three classes or more in more than one cluster.
+    some = held.where("members > 2").select("key", "cls", "v").join(clusters, "cls", "left").withColumn("cluster", F.coalesce("root", "cls"))
+    heads = some.where("cls = v").select("key", F.col("cluster").alias("head"))
+    told = some.join(heads, "key").select("key", "cls", "cluster", (F.col("cluster") == F.col("head")).alias("main"))
+    sizes = told.groupBy("key").agg(F.sum(F.col("main").cast("long")).alias("n_in"), F.sum((~F.col("main")).cast("long")).alias("n_out"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("members")).where("n_out > 0")
+    # Keys of the same classes are looked at once.
+    once = sizes.groupBy("members", "n_in", "n_out").agg(F.min("key").alias("key"))
+    tasks = blocks_of(told.join(once, "key"))
 
     def exact(t: pa.Table) -> pa.Table:
         cls = t.column("cls").to_numpy()
         order = np.argsort(cls)
-        held = t.column("shingles").to_pylist()
-        root = similar([np.frombuffer(held[i], np.uint64) for i in order], least)
-        cls = cls[order]
-        apart = np.bincount(root, minlength=len(root))[root] > 1
-        return pa.table({"cls": cls[apart], "own": cls[root[apart]]})
+        cls, texts = cls[order], t.column("text").take(pa.array(order)).to_pylist()
+        _, first, back = np.unique(t.column("cluster").to_numpy()[order], return_index=True, return_inverse=True)
+        before = first[back]
+        after = similar([np.unique(hashes_of(x, words)) for x in texts], least, before)
+        new = after != before
+        return pa.table({"u": cls[new], "v": cls[after[new]]})
 
-    return sets.groupBy("root").applyInArrow(exact, "cls long, own long")
+    late = tasks.join(texts, "cls").groupBy("key", "i", "j").applyInArrow(exact, "u long, v long")
+    return components(sure.union(late)).select(F.col("node").alias("cls"), F.col("root").alias("own"))
 
 
 def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, errors: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,9 +237,9 @@ def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, errors: int =
     Of rows that share this doc_id the one of least text stays. A group
     whose doc_ids are all null keeps one row, of its least class.
     """
-    rows = cut(prints(df, doc_id, text, words), "prints")
+    rows = cut(prints(df, doc_id, text, words).withColumn("row", F.monotonically_increasing_id()), "prints")
     low = rows.groupBy("cls").agg(F.min("doc_id").alias("low"))
-    own = low.join(groups(rows, least, errors), "cls", "left").select(F.coalesce("own", "cls").alias("own"), "low")
+    own = low.join(groups(rows, words, least, errors), "cls", "left").select(F.coalesce("own", "cls").alias("own"), "low")
     found = cut(own.groupBy("own").agg(F.min("low").alias("stays")), "groups")
     stay = found.where("stays is not null").select("stays").distinct()
     others = [c for c in df.columns if c not in (doc_id, text)]
