@@ -74,3 +74,22 @@ def test_beam_search_beats_the_greedy_code():
     scores = model.scores(x[:3], codes, lengths)
     sums = model.sums(codes)
     assert np.allclose(scores, x[:3] @ sums.T / np.linalg.norm(sums, axis=1), atol=1e-5)
+
+
+def test_repeated_rows_count_once(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(120, 8))
+    v[51] = v[50]
+    ids = list(range(120)) + [50] * 6 + [1] * 9 + [51] * 3
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in ids], "vec_id long, embedding array<double>")
+    assert found(ann.search(df)) == found(ann.search(df.dropDuplicates(["vec_id"])))
+    got, want = found(ann.search(df)), plain(np.arange(120), v)
+    assert {q: [x[0] for x in own] for q, own in got.items()} == {q: [x[0] for x in own] for q, own in want.items()}
+    assert got[50][0][0] == 51
+
+
+def test_recall_of_the_defaults(spark):
+    v = np.random.default_rng(7).normal(size=(9000, 64))
+    want = plain(np.arange(9000), v)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert recall(want, found(ann.search(df))) >= 0.97

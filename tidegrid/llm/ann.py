@@ -18,9 +18,10 @@ vec_id can never be among a query's k nearest and are coded once.
 Defined results: vectors that are null, empty, zero or hold a null, NaN or
 infinite component take no part, as query or candidate, and neither do those
 whose length is not the commonest; ties go to the smaller vec_id; rows with
-a null vec_id take no part; of rows with one vec_id and different vectors
-each is a candidate; an empty table gives no rows; other columns are
-ignored.
+a null vec_id take no part; repeated rows of one vec_id and vector count
+once, as query and as candidate; of one vec_id with different vectors each is
+a candidate, and the query is the first of them in the order of arrays; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,28 +49,29 @@ class Codebooks:
         """(codes, lengths of their sums): the best of ``beam`` partial sums a book.
 
         The squared distance to a sum changes, with one more codeword c, by
-        |c|^2 - 2 x.c + 2 sum.c; all three are products of the books with x
-        or with each other, so no residual is formed.
+        |c|^2 - 2 x.c + 2 sum.c.
         """
-        books, size, _ = self.words.shape
-        cross = self.flat @ self.flat.T
+        books, size, width = self.words.shape
+        squares = (self.flat**2).sum(1)
         codes_all, lengths = [], []
-        for i in range(0, len(x), 2048):
-            part = x[i : i + 2048].astype(np.float32)
+        for i in range(0, len(x), 512):
+            part = x[i : i + 512].astype(np.float32)
             dots = part @ self.flat.T
             n = len(part)
-            codes = np.zeros((n, 1, 0), np.int64)
+            codes, sums = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1, width), np.float32)
             cost = np.zeros((n, 1), np.float32)
             for b in range(books):
                 own = slice(b * size, (b + 1) * size)
-                step = np.broadcast_to(np.diagonal(cross)[own] - 2 * dots[:, None, own], (n, codes.shape[1], size)).copy()
-                for j in range(b):
-                    step += 2 * cross[j * size + codes[:, :, j]][:, :, own]
-                total = (cost[:, :, None] + step).reshape(n, -1)
+                # A partial sum's products with this book's codewords: one product of matrices, whatever came before.
+                step = (sums.reshape(-1, width) @ (2 * self.words[b]).T).reshape(n, -1, size)
+                step += (squares[own] - 2 * dots[:, own])[:, None]
+                step += cost[:, :, None]
+                total = step.reshape(n, -1)
                 keep = min(beam, total.shape[1])
                 best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
                 rows = np.arange(n)[:, None]
                 codes = np.concatenate([codes[rows, best // size], (best % size)[:, :, None]], axis=2)
+                sums = sums[rows, best // size] + self.words[b][best % size]
                 cost = total[rows, best]
             top = cost.argmin(1)
             codes_all.append(codes[np.arange(n), top].astype(np.uint8))
@@ -161,8 +163,10 @@ def search(
     wide = {"v": "array<double>", "codes": "binary", "length": "float"}
 
     # Only the k + 1 smallest ids of equal vectors can be found; the limit works before the shuffle too.
-    same = Window.partitionBy("v").orderBy("vec_id")
-    unique = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
+    # Equal vectors are told by a hash; of those that merely share it none is lost, for a set of their distinct pairs is kept.
+    few = rows.groupBy(F.xxhash64("v").alias("h"), "vec_id", "v").agg(F.lit(1).alias("once"))
+    same = Window.partitionBy("h", "v").orderBy("vec_id")
+    unique = few.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("vec_id", "v")
     n_blocks = max(1, -(-int(sizes.n) // block))
     n_groups = max(1, -(-int(sizes.n) // every // group))
     schema = T.StructType([T.StructField("vec_id", T.LongType())] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in wide.items()])
@@ -175,7 +179,7 @@ def search(
                 yield pd.DataFrame({"vec_id": t["vec_id"], "v": t["v"], "codes": [c.tobytes() for c in codes], "length": lengths})
 
     index = cut(unique.mapInPandas(code, schema), "index").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").withColumn("part", F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(n_groups)).cast("int"))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("part", F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(n_groups)).cast("int"))
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
 
