@@ -211,7 +211,8 @@ def groups(rows: DataFrame, words: int, least: float, errors: int) -> DataFrame:
     # What the first step has left open: keys of three classes or more in more than one cluster.
     some = held.where("members > 2").select("key", "cls", "v").join(clusters, "cls", "left").withColumn("cluster", F.coalesce("root", "cls"))
     heads = some.where("cls = v").select("key", F.col("cluster").alias("head"))
-    told = some.join(heads, "key").select("key", "cls", "cluster", (F.col("cluster") == F.col("head")).alias("main"))
+    # Written, so that what follows counts each key's classes before it shuffles them, and Spark can split a large key's join.
+    told = cut(some.join(heads, "key").select("key", "cls", "cluster", (F.col("cluster") == F.col("head")).alias("main")), "open")
     sizes = told.groupBy("key").agg(F.sum(F.col("main").cast("long")).alias("n_in"), F.sum((~F.col("main")).cast("long")).alias("n_out"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("members")).where("n_out > 0")
     # Keys of the same classes are looked at once.
     once = sizes.groupBy("members", "n_in", "n_out").agg(F.min("key").alias("key"))
