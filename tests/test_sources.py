@@ -68,5 +68,5 @@ def test_stream_equals_batch_for_sessions(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 1, 0, m)) for m in (0, 10, 55)]
     spark.createDataFrame(rows, "k int, ts timestamp_ntz").write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema("k int, ts timestamp_ntz").parquet(str(tmp_path / "s"))
-    out = streams.drained(streams.scan_sessions(stream, "ts", ["k"]), "sessions_of_test", "complete")
+    out = streams.drained(streams.scan_sessions(stream, "ts", ["k"]), str(tmp_path / "out"), "complete")
     assert sorted(r.n for r in out.collect()) == [1, 2]

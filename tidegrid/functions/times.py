@@ -61,6 +61,12 @@ def day(ts: str) -> Column:
     return F.date_trunc("DAY", F.col(ts).cast("timestamp_ntz")).cast("date")
 
 
+def date_text(ts: str) -> Column:
+    """Like 01-Mar-2024 14:30:00; at midnight the date alone."""
+    whole = F.date_format(ts, "dd-MMM-yyyy HH:mm:ss")
+    return F.when(F.date_format(ts, "HH:mm:ss.SSSSSS") == "00:00:00.000000", F.date_format(ts, "dd-MMM-yyyy")).otherwise(whole)
+
+
 def seconds_of_name(name: str | Column, pattern: str = r"do-lidar_(\d+)\.laz$") -> Column:
     """POSIX seconds in a file's name, null where it has none."""
     return F.nullif(F.regexp_extract(col(name), pattern, 1), F.lit("")).try_cast("long")

@@ -25,8 +25,15 @@ def power_sums(df: DataFrame, keys: list[str], x: str, z: str, sx: int, sz: int)
     return df.where(F.col(x).isNotNull() & F.col(z).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(x).alias("nx"), *sums)
 
 
-def quadratic_fit(df: DataFrame, keys: list[str], x: str, z: str, sx: int = 1, sz: int = 100) -> DataFrame:
-    """(keys, c0, c1, c2, n): least squares z = c0 + c1 x + c2 x^2 by Cramer's rule on exact sums; null with fewer than 3 distinct x."""
+def quadratic_fit(df: DataFrame, keys: list[str], x: str, z: str, sx: int | None = None, sz: int | None = None) -> DataFrame:
+    """(keys, c0, c1, c2, n): least squares z = c0 + c1 x + c2 x^2; null with fewer than 3 distinct x.
+
+    Nothing is rounded: moments of doubles, x counted from the group's least
+    one. Where x and z are known to be whole numbers of 1/sx and 1/sz, these
+    scales give exact sums, which do not depend on the order of rows.
+    """
+    if sx is None or sz is None:
+        return quadratic_by_moments(df, keys, x, z)
     s = power_sums(df, keys, x, z, sx, sz)
     d = lambda c: F.col(c).cast("double")
     n, a, b, c, e, p, q, r = d("n"), d("x1"), d("x2"), d("x3"), d("x4"), d("z0"), d("z1"), d("z2")
@@ -44,7 +51,23 @@ def quadratic_fit(df: DataFrame, keys: list[str], x: str, z: str, sx: int = 1, s
     )
 
 
-def drop_off_quadratic(df: DataFrame, keys: list[str], x: str, z: str, most: float = 0.4, sx: int = 1, sz: int = 100) -> DataFrame:
+def quadratic_by_moments(df: DataFrame, keys: list[str], x: str, z: str) -> DataFrame:
+    rows = df.where(F.col(x).isNotNull() & F.col(z).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(z).cast("double").alias("_z"))
+    least = rows.groupBy(*keys).agg(F.min("_x").alias("_x0"))
+    u = rows.join(least, keys).withColumn("_u", F.col("_x") - F.col("_x0")).withColumn("_w", F.col("_u") * F.col("_u"))
+    cov = [F.covar_pop(a, b).alias(a + b) for a, b in (("_u", "_u"), ("_u", "_w"), ("_w", "_w"), ("_u", "_z"), ("_w", "_z"))]
+    s = u.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("_x").alias("nx"), F.first("_x0").alias("_x0"), *[F.avg(c).alias(f"m{c}") for c in ("_u", "_w", "_z")], *cov)
+    det = F.col("_u_u") * F.col("_w_w") - F.col("_u_w") * F.col("_u_w")
+    ok = (F.col("nx") >= 3) & (det != 0)
+    b = (F.col("_u_z") * F.col("_w_w") - F.col("_w_z") * F.col("_u_w")) / det
+    c = (F.col("_w_z") * F.col("_u_u") - F.col("_u_z") * F.col("_u_w")) / det
+    s = s.withColumn("_b", F.when(ok, b)).withColumn("_c", F.when(ok, c))
+    a = F.col("m_z") - F.col("_b") * F.col("m_u") - F.col("_c") * F.col("m_w")
+    x0 = F.col("_x0")
+    return s.select(*keys, (a - F.col("_b") * x0 + F.col("_c") * x0 * x0).alias("c0"), (F.col("_b") - 2 * F.col("_c") * x0).alias("c1"), F.col("_c").alias("c2"), "n")
+
+
+def drop_off_quadratic(df: DataFrame, keys: list[str], x: str, z: str, most: float = 0.4, sx: int | None = None, sz: int | None = None) -> DataFrame:
     """Points whose distance from their group's quadratic is below ``most``; groups without a fit keep all."""
     fit = quadratic_fit(df, keys, x, z, sx, sz).drop("n")
     rows = df.join(fit, keys)
@@ -52,8 +75,13 @@ def drop_off_quadratic(df: DataFrame, keys: list[str], x: str, z: str, most: flo
     return rows.where(F.coalesce(F.abs(F.col(z) - at) < most, F.lit(True))).drop("c0", "c1", "c2")
 
 
-def linear_fit(df: DataFrame, keys: list[str], x: str, z: str, more_than: int = 5, sx: int = 1, sz: int = 100) -> DataFrame:
-    """(keys, slope, intercept, n): null unless there are more than ``more_than`` points of different x."""
+def linear_fit(df: DataFrame, keys: list[str], x: str, z: str, more_than: int = 5, sx: int | None = None, sz: int | None = None) -> DataFrame:
+    """(keys, slope, intercept, n): null unless there are more than ``more_than`` points of different x. Scales as in ``quadratic_fit``."""
+    if sx is None or sz is None:
+        rows = df.where(F.col(x).isNotNull() & F.col(z).isNotNull())
+        s = rows.groupBy(*keys).agg(F.regr_slope(z, x).alias("_k"), F.regr_intercept(z, x).alias("_c"), F.count("*").alias("n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        ok = (F.col("n") > more_than) & (F.col("_lo") < F.col("_hi"))
+        return s.select(*keys, F.when(ok, F.col("_k")).alias("slope"), F.when(ok, F.col("_c")).alias("intercept"), "n")
     s = power_sums(df, keys, x, z, sx, sz)
     d = lambda c: F.col(c).cast("double")
     n, det = d("n"), d("n") * d("x2") - d("x1") * d("x1")
@@ -62,9 +90,9 @@ def linear_fit(df: DataFrame, keys: list[str], x: str, z: str, more_than: int =
     return s.select(*keys, F.when(ok, slope / float(sz) * float(sx)).alias("slope"), F.when(ok, (d("z0") - slope * d("x1")) / n / float(sz)).alias("intercept"), "n")
 
 
-def detrended(df: DataFrame, keys: list[str], x: str, z: str, name: str = "detrended") -> DataFrame:
-    """z less its least-squares line over x."""
-    line = df.groupBy(*keys).agg(F.regr_slope(z, x).alias("_k"), F.regr_intercept(z, x).alias("_c"))
+def detrended(df: DataFrame, keys: list[str], x: str, z: str, name: str = "detrended", sx: int | None = None, sz: int | None = None) -> DataFrame:
+    """z less its least-squares line over x; null for a group without one. Scales as in ``quadratic_fit``."""
+    line = linear_fit(df, keys, x, z, 1, sx, sz).select(*keys, F.col("slope").alias("_k"), F.col("intercept").alias("_c"))
     return df.join(line, keys).withColumn(name, F.col(z) - F.col("_k") * F.col(x) - F.col("_c")).drop("_k", "_c")
 
 
@@ -90,7 +118,7 @@ def foreshore_slope(df: DataFrame, keys: list[str], x: str, z: str, variance: st
     rows = rows.withColumn("_d", F.col(x) - F.lag(x).over(w))
     rows = rows.withColumn("_j", F.sum(F.when(F.col("_d") > jump, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_j = 0").drop("_d", "_j")
     rows = rows.where(F.col(z).between(F.col(low), F.col(high)))
-    return linear_fit(without_berm(rows, keys, x, z), keys, x, z, sx=100, sz=1000)
+    return linear_fit(without_berm(rows, keys, x, z), keys, x, z)
 
 
 def multi_transect(df: DataFrame, line: Transect, scan: list[str], x: str, y: str, z: str, offsets: list[float], tolerance: float = 1.0, most_gap: int = 4, off_curve: float = 0.4) -> DataFrame:
@@ -99,7 +127,7 @@ def multi_transect(df: DataFrame, line: Transect, scan: list[str], x: str, y: st
     rows = df.select(*scan, line.along(x, y).alias("along"), line.across(x, y).alias("across"), F.col(z).alias("z"), sides)
     rows = rows.select(*scan, "_o.transect", "along", "z", (F.col("across") - F.col("_o.offset")).alias("off")).where(F.abs("off") <= tolerance)
     keys = [*scan, "transect"]
-    kept = drop_off_quadratic(rows, keys, "along", "z", off_curve, sx=10, sz=1000)
+    kept = drop_off_quadratic(rows, keys, "along", "z", off_curve)
     means = kept.withColumn("xi", line.node(F.col("along"))).groupBy(*keys, "xi").agg(F.avg("z").alias("z"))
     nodes = means.select(*keys).distinct().withColumn("xi", F.explode(F.sequence(F.lit(0), F.lit(line.n_nodes - 1))))
     dense = nodes.join(means, [*keys, "xi"], "left")
@@ -116,6 +144,20 @@ def every_nth_and_last(df: DataFrame, keys: list[str], order: str, n: int = 24)
     return rows.where(kept).withColumn("last", F.col("_r") == 0).drop("_r", "_n")
 
 
+#: Parallel lines two metres apart, of which the fifth is shown, up to 50 m.
+OFFSETS, SHOWN, MOST_X = tuple(float(o) for o in range(-8, 12, 2)), 5, 50.0
+
+
+def shown_profiles(scans: DataFrame, surfaces: DataFrame, at: str, line: Transect, x: str, y: str, z: str, n: int = 24, offsets: tuple[float, ...] = OFFSETS, transect: int = SHOWN, most_x: float = MOST_X) -> DataFrame:
+    """(at, last, x, z) of every n-th scan and the last, all scans counted: the profile along one transect, cropped. Scans without a surface are left out after that."""
+    chosen = every_nth_and_last(scans.select(at).distinct().withColumn("_all", F.lit(0)), ["_all"], at, n).drop("_all")
+    own = surfaces.join(chosen, at, "left_semi")
+    nodes = multi_transect(own, line, [at], x, y, z, list(offsets)).where(F.col("transect") == transect - 1)
+    placed = nodes.select(at, (F.col("xi") * F.lit(line.spacing)).alias("x"), "z").where(F.col("x") <= most_x)
+    listed = placed.groupBy(at).agg(F.array_sort(F.collect_list(F.struct("x", "z"))).alias("_p"))
+    return listed.join(chosen, at).select(at, "last", F.transform("_p", lambda p: p["x"]).alias("x"), F.transform("_p", lambda p: p["z"]).alias("z"))
+
+
 def plot_document(profiles: DataFrame, order: str, x: str, z: str, label: str) -> DataFrame:
     """One JSON text: the profiles in order, grey but for the last, which is blue. For plots: few profiles."""
     color = F.when(F.col("last"), F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).otherwise(F.array(F.lit(0.6), F.lit(0.6), F.lit(0.6)))

@@ -57,8 +57,9 @@ def meets(x: np.ndarray, depth: np.ndarray, low: float, high: float, level: floa
     for p in found:
         near = int(np.abs(x - p).argmin())
         own = np.arange(max(0, near - spike), min(len(x), near + spike + 1))
-        own = own[(x[own] >= low) & (x[own] <= high) & ~np.isnan(d[own])]
-        if len(own) > 2 and (np.diff(sign[own]) != 0).sum() <= 1:
+        own = own[(x[own] >= low) & (x[own] <= high)]
+        # A missing node counts as a node of the window, but a step from or to it is no change of sign.
+        if len(own) > 2 and (np.abs(np.diff(sign[own])) > 0).sum() <= 1:
             kept.append(p)
     return np.array(kept)
 
@@ -85,9 +86,10 @@ class Tracker:
         """The position at the next step, NaN if none; the last segment looked at stays."""
         self.count += 1
         last4 = self.history[-4:]
-        center = float(np.mean(last4)) if len(last4) == 4 else float("nan")
+        there = [p for p in last4 if p == p]
+        center = sum(there) / len(there) if len(last4) == 4 and there else float("nan")  # missing ones are skipped
         if self.count > 4 and last4[-1] == last4[-1]:
-            c = max(4.0, center) if center == center else center
+            c = max(4.0, center)
             self.segment = (c - self.half, c + self.half, self.threshold)
         found = meets(self.x, depth, *self.segment)
         if not len(found):
@@ -101,11 +103,19 @@ class Tracker:
         return position
 
 
-def track_scan(z: np.ndarray, sand: np.ndarray, x: np.ndarray, threshold: float, x_off: float) -> np.ndarray:
-    """Positions of one scan; z and its dry beach are nodes x steps."""
+def track_scan(z: np.ndarray, sand: np.ndarray, x: np.ndarray, threshold: float, x_off: float, intensity: np.ndarray | None = None, bright: float = 30.0) -> np.ndarray:
+    """Positions of one scan; z and its dry beach are nodes x steps.
+
+    With an intensity, what is brighter than ``bright`` is missing from its
+    own step on: the step ahead is still whole when the one before it looks
+    there. z is changed so.
+    """
     n = z.shape[1]
     tracker, out = Tracker(x, x_off, threshold), np.full(n, np.nan)
     for i in range(n):
+        if intensity is not None:
+            with np.errstate(invalid="ignore"):
+                z[intensity[:, i] > bright, i] = np.nan
         beach = median_zero_padded(sand[:, i])
         water = median_skipping([z[:, i - 1], z[:, i], z[:, i + 1]]) if 2 <= i < n - 1 else z[:, i]
         out[i] = tracker.step(mean5(water - beach))
@@ -118,35 +128,48 @@ def sparse_from(z: np.ndarray, x: np.ndarray, dt: float) -> float:
     return float(x[low.argmax()]) if low.any() else float(x[-1])
 
 
+def nearest_node(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Index of the node nearest to a position, which is first rounded to 0.1; the first node below them all, the last one above, at the first node itself and for a missing position."""
+    p = np.sign(at) * np.floor(np.abs(at) * 10 + 0.5) / 10
+    with np.errstate(invalid="ignore"):
+        inside, below = (p > x[0]) & (p < x[-1]), p < x[0]
+    out = np.full(len(at), len(x) - 1)
+    out[below] = 0
+    right = np.searchsorted(x, p[inside])
+    out[inside] = np.where(p[inside] - x[right - 1] <= x[right] - p[inside], right - 1, right)
+    return out
+
+
 TRACK = [("ti", T.LongType()), ("x_runup", T.DoubleType()), ("z_runup", T.DoubleType()), ("x_filled", T.DoubleType()), ("z_filled", T.DoubleType())]
 
 
-def runup(df: DataFrame, keys: list[str], x: str = "x", t: str = "ti", z: str = "z", sand: str = "sand", dt: float = 0.5, threshold: float = 0.1, x_off: float | None = None) -> DataFrame:
+def runup(df: DataFrame, keys: list[str], x: str = "x", t: str = "ti", z: str = "z", sand: str = "sand", dt: float = 0.5, threshold: float = 0.1, x_off: float | None = None, intensity: str | None = None, bright: float = 30.0) -> DataFrame:
     """(keys, ti, x_runup, z_runup, x_filled, z_filled) of each scan.
 
     Elevation at the edge is a lookup at the nearest node, then the median of
     each step and the one before; both series are also given without gaps.
+    With ``intensity``, what is brighter than ``bright`` is masked step by
+    step. A scan is one sequential state and one task: memory grows with its
+    nodes times steps (a scan of 20 minutes is some 40 MB), not with the table.
     """
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(*c) for c in TRACK])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([x, t])
         nodes, ticks = np.sort(rows[x].unique()).astype(float), np.sort(rows[t].unique())
-        grid = rows[z].to_numpy(float).reshape(len(nodes), len(ticks))
+        grid = rows[z].to_numpy(float, copy=True).reshape(len(nodes), len(ticks))
         dry = rows[sand].to_numpy(float).reshape(grid.shape)
-        r = track_scan(grid, dry, nodes, threshold, sparse_from(grid, nodes, dt) if x_off is None else x_off)
+        far = sparse_from(grid, nodes, dt) if x_off is None else x_off
+        r = track_scan(grid, dry, nodes, threshold, far, None if intensity is None else rows[intensity].to_numpy(float).reshape(grid.shape), bright)
         filled = inpaint_runs(r)
-        ok = ~np.isnan(filled)
-        at = np.zeros(len(r), int)
-        at[ok] = np.abs(nodes[None, :] - np.clip(filled[ok], nodes[0], nodes[-1])[:, None]).argmin(axis=1)
-        height = np.where(ok, grid[at, np.arange(len(r))], np.nan)
+        height = grid[nearest_node(nodes, filled), np.arange(len(r))]
         smooth = median_skipping([np.concatenate([[np.nan], height[:-1]]), height])
         out = pd.DataFrame({"ti": ticks.astype("int64"), "x_runup": r, "z_runup": smooth, "x_filled": filled, "z_filled": inpaint_runs(smooth)})
         for k in reversed(keys):
             out.insert(0, k, rows[k].iloc[0])
         return out
 
-    return df.select(*keys, x, t, z, sand).groupBy(*keys).applyInPandas(run, schema)
+    return df.select(*keys, x, t, z, sand, *([] if intensity is None else [intensity])).groupBy(*keys).applyInPandas(run, schema)
 
 
 def dry_beach(df: DataFrame, keys: list[str], x: str, t: str, z: str, min_window: int, mean_window: int, name: str = "sand") -> DataFrame:

@@ -38,7 +38,7 @@ def welch(y: np.ndarray, dt: float, window_minutes: float, alpha: float = 0.05)
         powers.append(np.abs(np.fft.fft(tapered)[: nfft // 2 + 1] / np.sqrt(nfft)) ** 2)
     fs = 1 / dt
     df = fs / (nfft - 1)
-    s = np.mean(powers, axis=0) / (nfft / 2 * df)
+    s = np.mean(powers, axis=0) / ((nfft // 2 + 1) * df)
     dof = 8 / 3 * n
     return {"f": np.arange(nfft // 2 + 1) * df, "s": s, "lo": dof * s / chi2inv(1 - alpha / 2, dof), "up": dof * s / chi2inv(alpha / 2, dof), "dof": dof}
 
@@ -79,12 +79,12 @@ def chi2_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def wave_bulk(spectra: DataFrame, keys: list[str], bands: dict[str, tuple[float, float]] = BANDS, a: float = 0.025) -> DataFrame:
-    """(keys, band, hs, edof, lo, up): significant height of each band, its effective degrees of freedom and bounds."""
+    """(keys, band, hs, edof, lo, up, f_peak): significant height of each band, its effective degrees of freedom and bounds, and the first frequency of its greatest density."""
     rows = spectra.withColumn("band", F.explode(F.array(*[F.when((F.col("f") > lo) & (F.col("f") <= hi), F.lit(n)) for n, (lo, hi) in bands.items()]))).where("band is not null")
     step = spectra.groupBy(*keys).agg(F.max(F.when(F.col("f") > 0, F.col("f"))).alias("_m"), F.count("*").alias("_n")).select(*keys, (F.col("_m") / (F.col("_n") - 1)).alias("_df"))
-    sums = rows.groupBy(*keys, "band").agg(F.sum("s").alias("_e"), F.sum(F.col("s") * F.col("s")).alias("_q"), F.max("dof").alias("_dof")).join(step, keys)
+    sums = rows.groupBy(*keys, "band").agg(F.sum("s").alias("_e"), F.sum(F.col("s") * F.col("s")).alias("_q"), F.max("dof").alias("_dof"), F.max_by("f", F.struct("s", -F.col("f"))).alias("f_peak")).join(step, keys)
     hs = 4 * F.sqrt(F.col("_e") * F.col("_df"))
     edof = F.when(F.col("_q") > 0, F.col("_dof") * F.col("_e") * F.col("_e") / F.col("_q") / (1 + 2 / F.col("_dof")))
     out = sums.withColumn("hs", hs).withColumn("edof", edof)
     bound = lambda p: F.col("hs") * F.sqrt(F.col("edof") / chi2_quantile(F.lit(p), "edof"))
-    return out.select(*keys, "band", "hs", "edof", bound(1 - a).alias("lo"), bound(a).alias("up"))
+    return out.select(*keys, "band", "hs", "edof", bound(1 - a).alias("lo"), bound(a).alias("up"), "f_peak")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidegrid.functions.basic import exact, mean_of
 
 
-def stack_mean(df: DataFrame, keys: list[str], value: str, scale: int = 100, name: str = "z") -> DataFrame:
-    """Mean of the non-null values of each (scan, tick, node); sums are whole numbers."""
+def stack_mean(df: DataFrame, keys: list[str], value: str, scale: int | None = None, name: str = "z") -> DataFrame:
+    """Mean of the non-null values of each (scan, tick, node). Values known to be whole numbers of 1/scale have exact sums."""
+    if scale is None:
+        return df.groupBy(*keys).agg(F.avg(value).alias(name))
     sums = df.groupBy(*keys).agg(F.sum(exact(value, scale)).alias("_s"), F.count(value).alias("_n"))
     return sums.select(*keys, F.when(F.col("_n") > 0, mean_of(F.col("_s"), F.col("_n"), scale)).alias(name))
 
@@ -52,8 +54,7 @@ def change(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     return there.groupBy(*keys).agg((F.max_by(value, t) - F.min_by(value, t)).alias("change"))
 
 
-def anomaly(df: DataFrame, keys: list[str], t: str, value: str, first: int, scale: int = 100) -> DataFrame:
-    """Difference of each value from the mean of its node's first steps."""
-    base = df.where(F.col(t) < first).groupBy(*keys).agg(F.sum(exact(value, scale)).alias("_s"), F.count(value).alias("_n"))
-    means = base.where("_n > 0").select(*keys, mean_of(F.col("_s"), F.col("_n"), scale).alias("_m"))
+def anomaly(df: DataFrame, keys: list[str], t: str, value: str, first: int, scale: int | None = None) -> DataFrame:
+    """Difference of each value from the mean of its node's first steps; scale as in ``stack_mean``."""
+    means = stack_mean(df.where(F.col(t) < first), keys, value, scale, "_m")
     return df.join(means, keys, "left").withColumn("anomaly", F.col(value) - F.col("_m")).drop("_m")

@@ -92,14 +92,16 @@ def outlier_mask(
     med: tuple[int, int] = (1, 2),
     dilation: tuple[int, int] = (6, 2),
     scale: int = 10**6,
-    mean_scale: int = 100,
+    mean_scale: int | None = None,
 ) -> DataFrame:
     """Adds grad, lap, raw (the predicate) and masked (dilated).
 
     The value less its slowly moving floor is median-filtered; a point is an
     outlier where the gradient exceeds its mean by ``threshold`` standard
     deviations and the absolute Laplacian does so by those of the signed
-    one. Means and deviations are one grouped row a key, joined back.
+    one. Means and deviations are one grouped row a key, joined back; their
+    sums are whole numbers of 1/scale. The floor's mean is not rounded unless
+    mean_scale says of what its values are whole numbers.
     """
     rows = moving_min(df, [*keys, x], t, value, window, name="_floor")
     rows = moving_mean(rows, [*keys, x], t, "_floor", window, strict=True, scale=mean_scale, name="_base")

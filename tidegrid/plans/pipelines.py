@@ -79,7 +79,7 @@ def l2_stack(points: DataFrame, o: L2) -> DataFrame:
 
 def l2_cleaned(grid: DataFrame, o: L2) -> DataFrame:
     """Outliers and flagged ranges become null, short gaps near the shore are filled, both fields are median-filtered."""
-    rows = stencil.outlier_mask(grid, ["scan_id"], "xi", "ti", "z", int(60 / o.step), o.k, mean_scale=1000)
+    rows = stencil.outlier_mask(grid, ["scan_id"], "xi", "ti", "z", int(60 / o.step), o.k)
     rows = stencil.masked_to_null(rows, "masked", ["z", "intensity"]).drop("raw", "masked", "grad", "lap")
     rows = rows.withColumn("x", F.col("xi") * F.lit(o.line.spacing))
     if o.flags:

@@ -16,6 +16,7 @@ from tidegrid.functions import basic, times
 from tidegrid.operators import contours, gaps, geometry, inpaint, planefit, profiles, raster, runup, spectral, stack, stencil, windows
 from tidegrid.plans import pipelines
 from tidegrid.sources import catalog
+from tidegrid.sources.shared import scratch
 from tidegrid.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +53,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense (xi, ti, z)."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").cast("int").alias("xi"), F.floor(times.micros("ts") / F.lit(SIX_HOURS)).cast("long").alias("ti"), "value")
-    return stack.spine(stack.stack_mean(e, ["xi", "ti"], "value"))
+    return stack.spine(stack.stack_mean(e, ["xi", "ti"], "value", 100))  # values are cents
 
 
 POINTS = "SELECT l_orderkey, l_linenumber, l_partkey AS x, l_suppkey AS y, l_extendedprice AS z, l_quantity AS i FROM lineitem"
@@ -178,12 +179,12 @@ CASE WHEN nx >= 3 AND {_DET} <> 0 THEN (n * (q * e - r * c) - p * (a * e - b * c
 CASE WHEN nx >= 3 AND {_DET} <> 0 THEN (n * (b * r - c * q) - a * (a * r - b * q) + p * (a * c - b * b)) / {_DET} / 100.0 END AS c2, n FROM s"""
 )
 def profile_quadfit(spark, sf_dir):
-    return profiles.quadratic_fit(points(spark, sf_dir), ["i"], "x", "z")
+    return profiles.quadratic_fit(points(spark, sf_dir), ["i"], "x", "z", sx=1, sz=100)
 
 
 @query(f"WITH {_SUMS} SELECT i, CASE WHEN n > 5 AND n * b - a * a <> 0 THEN (n * q - a * p) / (n * b - a * a) / 100.0 END AS slope, CASE WHEN n > 5 AND n * b - a * a <> 0 THEN (p - (n * q - a * p) / (n * b - a * a) * a) / n / 100.0 END AS intercept, n FROM s")
 def slope_fit(spark, sf_dir):
-    return profiles.linear_fit(points(spark, sf_dir), ["i"], "x", "z")
+    return profiles.linear_fit(points(spark, sf_dir), ["i"], "x", "z", sx=1, sz=100)
 
 
 @query()
@@ -192,9 +193,9 @@ def multi_transect(spark, sf_dir):
     return profiles.multi_transect(p, geometry.Transect(0.0, 0.0, 2000.0, 40.0, 10.0), ["scan"], "x", "y", "z", [float(o) for o in range(-8, 12, 2)], tolerance=2.0, off_curve=60_000.0)
 
 
-@query()
+@query(f"WITH {_SUMS}, f AS (SELECT i, CASE WHEN n > 1 AND n * b - a * a <> 0 THEN (n * q - a * p) / (n * b - a * a) / 100.0 END AS k, CASE WHEN n > 1 AND n * b - a * a <> 0 THEN (p - (n * q - a * p) / (n * b - a * a) * a) / n / 100.0 END AS c FROM s) SELECT l_orderkey, l_linenumber, z - k * x - c AS detrended FROM ({POINTS}) t JOIN f ON f.i = t.i")
 def detrend(spark, sf_dir):
-    return profiles.detrended(points(spark, sf_dir), ["i"], "x", "z").select("l_orderkey", "l_linenumber", "detrended")
+    return profiles.detrended(points(spark, sf_dir), ["i"], "x", "z", sx=1, sz=100).select("l_orderkey", "l_linenumber", "detrended")
 
 
 @query()
@@ -222,7 +223,7 @@ def calib_compare(spark, sf_dir):
 
 
 @query(
-    """WITH q AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id, embedding AS e FROM embeddings),
+    """WITH q AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT vec_id, embedding AS e FROM embeddings),
 d AS (SELECT q.id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda k: CAST(round(CAST(q.e[k] AS DOUBLE) * 10000.0) AS BIGINT) * CAST(round(CAST(c.e[k] AS DOUBLE) * 10000.0) AS BIGINT))) AS dot FROM q, c WHERE q.id <> c.vec_id)
 SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) AS r FROM d) WHERE r = 1"""
 )
@@ -230,7 +231,7 @@ def nearest_neighbor(spark, sf_dir):
     """The stated queries, a small list, meet all vectors; ties go to the smaller id."""
     whole = F.transform(F.col("embedding"), lambda v: F.round(v.cast("double") * 10000).cast("long"))
     v = read(spark, sf_dir, "embeddings").select("vec_id", whole.alias("e"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
     dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
     pairs = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot.alias("dot"))
     return pairs.groupBy("query_id").agg(F.max_by("vec_id", F.struct("dot", -F.col("vec_id"))).alias("vec_id"))
@@ -358,7 +359,7 @@ def surface_change(spark, sf_dir):
 def surface_anomaly(spark, sf_dir):
     s = event_stack(spark, sf_dir)
     first = s.agg(F.min("ti")).first()[0] or 0  # one row
-    return stack.anomaly(s, ["xi"], "ti", "z", first + 20).select("xi", "ti", "anomaly")
+    return stack.anomaly(s, ["xi"], "ti", "z", first + 20, 100).select("xi", "ti", "anomaly")
 
 
 _IDX = "(ti * 7) % 120"
@@ -526,7 +527,7 @@ SELECT s.xi, s.ti, any_value(s.raw) AS raw, bool_or(n.raw) AS masked FROM raw s
 
 @query(_OUT)
 def outlier_mask(spark, sf_dir):
-    return stencil.outlier_mask(full_stack(spark, sf_dir), [], "xi", "ti", "z", window=12).select("xi", "ti", "raw", "masked")
+    return stencil.outlier_mask(full_stack(spark, sf_dir), [], "xi", "ti", "z", window=12, mean_scale=100).select("xi", "ti", "raw", "masked")
 
 
 # Contours and masks
@@ -592,12 +593,12 @@ def sign_changes(spark, sf_dir):
     return s.withColumn("c", F.lag("s").over(w) != F.col("s")).groupBy("xi").agg(F.count(F.when(F.col("c"), 1)).alias("turns"))
 
 
-# Numpy operators
+# Numpy operators, and whole plans
 
 
 def hourly(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_type", F.floor(times.micros("ts") / F.lit(3_600_000_000)).cast("long").alias("ti"), "value")
-    return stack.regular_axis(stack.stack_mean(e, ["event_type", "ti"], "value"), "ti", 1, ["event_type"])
+    return stack.regular_axis(stack.stack_mean(e, ["event_type", "ti"], "value", 100), "ti", 1, ["event_type"])
 
 
 @query()
@@ -605,6 +606,16 @@ def inpaint_1d(spark, sf_dir):
     return inpaint.inpaint_column(event_stack(spark, sf_dir), ["xi"], "ti", "z")
 
 
+@query()
+def inpaint_2d(spark, sf_dir):
+    """Each of the methods for grids, on the whole stack in scans of 40 steps."""
+    from functools import reduce
+
+    s = full_stack(spark, sf_dir).withColumn("scan", F.floor(F.col("ti") / 40)).select("scan", "xi", "ti", "z")
+    each = [inpaint.inpaint_grid(s, ["scan"], "xi", "ti", "z", m).select(F.lit(m).alias("method"), "scan", "xi", "ti", "inpainted") for m in inpaint.METHODS]
+    return reduce(DataFrame.union, each)
+
+
 @query()
 def spectrum_welch(spark, sf_dir):
     return spectral.spectrum(hourly(spark, sf_dir), ["event_type"], "ti", "z", dt=0.5, window_minutes=0.5)
@@ -648,6 +659,39 @@ def l1_surfaces(spark, sf_dir):
     return pipelines.l1_surfaces(p, o)
 
 
+def squeezed(spark, sf_dir) -> DataFrame:
+    """Points of the tables as scans of a beach 100 m long."""
+    p = points(spark, sf_dir)
+    return p.select((F.col("i").cast("int") % 2).cast("string").alias("scan_id"), F.col("l_orderkey").alias("pidx"), (F.col("x").cast("double") % 100).alias("x"), (F.col("y") % 3).cast("double").alias("y"), (2 - F.col("x") % 100 / 60 + F.col("z") % 1 / 20).alias("z"), (F.col("i") * 2).alias("intensity"), (1.3e9 + F.col("l_orderkey") % 40 * 0.5).alias("gps_s"))
+
+
+@query()
+def l2_products(spark, sf_dir):
+    """Points to stacks, cleaned stacks and their products: one row a kind and scan with what it holds."""
+    o = pipelines.L2([[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]], [(-1.0, -1.0), (101.0, -1.0), (101.0, 4.0), (-1.0, 4.0)], geometry.Transect(0.0, 1.0, 100.0, 1.0, 0.5), most_intensity=1000.0, minutes=0.1)
+    clean = pipelines.l2_cleaned(pipelines.l2_stack(squeezed(spark, sf_dir), o), o)
+    found = {"stack": clean.groupBy("scan_id").agg(F.count("*").alias("n_rows"))} | {k: v.groupBy("scan_id").agg(F.count("*").alias("n_rows")) for k, v in pipelines.l2_products(clean, o).items()}
+    out = None
+    for kind, rows in found.items():
+        own = rows.select(F.lit(kind).alias("kind"), "scan_id", "n_rows")
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query()
+def l1_profiles(spark, sf_dir):
+    """The plot's profiles: every second scan and the last, the fifth transect up to 50 m."""
+    p = squeezed(spark, sf_dir).withColumn("scan_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pidx") % 7 * 1800).cast("timestamp_ntz"))
+    scans = p.select("scan_ts").distinct().union(spark.range(1).select(F.lit("2023-11-15 12:00:00").cast("timestamp_ntz")))
+    shown = profiles.shown_profiles(scans, p.select("scan_ts", "x", "y", "z"), "scan_ts", geometry.Transect(0.0, 1.0, 100.0, 1.0, 0.5), "x", "y", "z", n=2)
+    return shown.select(times.date_text("scan_ts").alias("dates"), "last", F.size("x").alias("n"), F.array_max("x").alias("far"), F.expr("size(filter(z, v -> v is not null))").alias("measured"))
+
+
+@query("SELECT event_id, CASE WHEN ts = date_trunc('day', ts) THEN strftime(ts, '%d-%b-%Y') ELSE strftime(ts, '%d-%b-%Y %H:%M:%S') END AS text FROM events")
+def date_text(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", times.date_text("ts").alias("text"))
+
+
 @query()
 def runup_bulk(spark, sf_dir):
     """From stack to wave heights: tracker, spectrum, bulk, mean level."""
@@ -656,13 +700,18 @@ def runup_bulk(spark, sf_dir):
     return bulk.join(runup.eta(r, ["scan"], "z_runup"), "scan")
 
 
-@query("SELECT n AS n_profiles, length(document) > 100 AS long FROM (SELECT 5 AS n, repeat('x', 101) AS document)")
+@query(
+    """WITH m AS (SELECT event_type, hour(ts) AS h, CAST(sum(CAST(round(value * 100.0) AS BIGINT)) AS DOUBLE) / count(*) / 100.0 AS mean FROM events GROUP BY 1, 2)
+SELECT event_type AS dates, CAST(h AS DOUBLE) AS x, mean AS z, CASE WHEN event_type = 'view' THEN '[0.0,0.5,1.0]' ELSE '[0.6,0.6,0.6]' END AS color FROM m"""
+)
 def plot_document(spark, sf_dir):
     m = raster.moments(read(spark, sf_dir, "events").withColumn("h", F.hour("ts")), ["event_type", "h"], "value", 100)
     p = m.groupBy("event_type").agg(F.array_sort(F.collect_list("h")).alias("x"), F.transform(F.array_sort(F.collect_list(F.struct("h", "mean"))), lambda s: s["mean"]).alias("z"))
     rows = p.withColumn("last", F.col("event_type") == F.lit("view"))
     d = profiles.plot_document(rows, "event_type", "x", "z", "event_type")
-    return d.select(F.size(F.from_json("document", "profiles array<struct<dates: string, x: array<double>>>")["profiles"]).alias("n_profiles"), (F.length("document") > 100).alias("long"))
+    # Read back from the text: one row a point.
+    held = d.select(F.explode(F.from_json("document", "profiles array<struct<dates: string, x: array<double>, z: array<double>, color: array<double>>>")["profiles"]).alias("p"))
+    return held.select("p.dates", F.to_json("p.color").alias("color"), F.explode(F.arrays_zip("p.x", "p.z")).alias("a")).select("dates", "a.x", "a.z", "color")
 
 
 # Streams: a whole table goes through a stream once; late rows are kept by a wide watermark.
@@ -676,13 +725,13 @@ def event_stream(spark, sf_dir) -> DataFrame:
 @query("SELECT event_type, make_timestamp(CAST(floor(epoch_us(ts) / 1800000000.0) AS BIGINT) * 1800000000) AS start, min(value) AS least, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_min(spark, sf_dir):
     out = streams.tumbling_min(event_stream(spark, sf_dir), "ts", ["event_type"], "value", late="400 days")
-    return streams.drained(out, _name("tumbling"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.drained(out, scratch(spark, "tumbling"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY event_type")
 def stream_dedup(spark, sf_dir):
     out = streams.first_per_key(event_stream(spark, sf_dir), "ts", ["event_type", "user_id"], late="400 days")
-    return streams.drained(out, _name("dedup")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return streams.drained(out, scratch(spark, "dedup")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -690,25 +739,10 @@ def stream_stateful_track(spark, sf_dir):
     """The tracker's state in a stream gives what the batch operator gives."""
     b = beach(spark, sf_dir)
     rows = b.groupBy(F.col("scan").alias("scan_id"), "ti").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", (F.col("z") - F.col("sand")).alias("d")))), lambda s: s["d"]).alias("depth"))
-    folder = f"{_shared(spark)}/{_name('depths')}"
+    folder = scratch(spark, "depths")
     rows.write.parquet(folder)
     stream = spark.readStream.schema(rows.schema).parquet(folder)
-    return streams.drained(streams.track(stream, 0.0, 0.25, 40.0), _name("track"))
-
-
-def _name(kind: str) -> str:
-    import uuid
-
-    return f"{kind}_{uuid.uuid4().hex[:12]}"
-
-
-def _shared(spark) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return found or f"file://{tempfile.mkdtemp(prefix='tidegrid-')}"
+    return streams.drained(streams.track(stream, 0.0, 0.25, 40.0), scratch(spark, "track"))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "basic"]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -74,9 +74,17 @@ def track(df: DataFrame, x0: float, spacing: float, x_off: float, threshold: flo
     return df.groupBy("scan_id").applyInPandasWithState(run, TRACK_OUT, TRACK_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns its table: for tests and small results."""
-    spark: SparkSession = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there, into Parquet under ``folder``, and reads the rows back.
+
+    The folder, with the stream's checkpoint, must be one that all executors
+    share. A complete result is written anew by each micro-batch.
+    """
+    rows = f"{folder}/rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+    else:
+        writer = writer.format("parquet").option("path", rows)
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)
