@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegrid.sources.shared import held
+
 EDGE = 1e-6  # metres within which a point lies on a shared edge
 
 
@@ -47,10 +49,14 @@ def residual_filter(df: DataFrame, scan: list[str], x: str, y: str, z: str, size
     belongs to every triangle there and is judged by the last of them in the
     order (column, row, half) that has ``least_n`` points; points without
     such a triangle are dropped.
+
+    The rows are written to the shared folder once, whatever led to them; the
+    corner, the planes and the judgement read them there.
     """
+    df = held(df.withColumn("_id", F.monotonically_increasing_id()), "surface")
     dx, dy = 0.9 * size, 2.7 * size
     corner = df.groupBy(*scan).agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"))
-    rows = (df.join(corner, scan) if scan else df.crossJoin(F.broadcast(corner))).withColumn("_id", F.struct(*[F.col(c) for c in df.columns]))
+    rows = (df.join(corner, scan) if scan else df.crossJoin(F.broadcast(corner)))
     u, v = (F.col(x) - F.col("_x0")) / dx, (F.col(y) - F.col("_y0")) / dy
     ex, ey = EDGE / dx, EDGE / dy
     rows = rows.withColumn("_u", u).withColumn("_v", v)
@@ -63,10 +69,9 @@ def residual_filter(df: DataFrame, scan: list[str], x: str, y: str, z: str, size
     planes = plane_fit(rows.select(*triangle, x, y, z), triangle, x, y, z).where((F.col("n") >= least_n) & (F.abs("c") > 1e-12))
     judged = rows.join(planes.drop("n"), triangle)
     fit = F.col("mz") - (F.col("a") * (F.col(x) - F.col("mx")) + F.col("b") * (F.col(y) - F.col("my"))) / F.col("c")
-    last = judged.groupBy("_id").agg(F.max_by(F.abs(F.col(z) - fit), F.struct("_i", "_j", "_h")).alias("_r"), F.count_distinct("_i", "_j", "_h").alias("_k"), F.count("*").alias("_n"))
-    # Equal points were one group: each of them comes back.
-    kept = last.where(F.col("_r") < most).withColumn("_c", F.explode(F.sequence(F.lit(1), (F.col("_n") / F.col("_k")).cast("int"))))
-    return kept.select("_id.*")
+    own = F.struct(F.abs(F.col(z) - fit).alias("r"), F.struct(*[c for c in df.columns if c != "_id"]).alias("row"))
+    last = judged.groupBy("_id").agg(F.max_by(own, F.struct("_i", "_j", "_h")).alias("_l"))
+    return last.where(F.col("_l.r") < most).select("_l.row.*")
 
 
 def two_pass_filter(df: DataFrame, scan: list[str], x: str, y: str, z: str) -> DataFrame:

@@ -27,12 +27,15 @@ def lower_half_stats(df: DataFrame, keys: list[str], value: str, least_n: int =
     positive or zero. zmax is the mean too, as users of these surfaces know
     it, unless ``true_max``. The mode of tied values is the smallest. Moments
     are sums of whole numbers of 1/scale, so they do not depend on order.
-    The median is one grouped aggregate joined back on the cell; Spark splits
-    that join where one cell holds very many points.
+    One shuffle by cell: the values are ranked there, in a sort that can
+    spill, and those up to the lower of the two middle ones are what is not
+    above the median.
     """
     rows = df.select(*keys, col(value).alias("_v"), exact(value, scale).alias("_c"))
-    median = rows.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5)).alias("_m"))
-    low = rows.join(median, keys).where("_v <= _m")
+    cells = Window.partitionBy(*keys)
+    ranked = rows.where("_v is not null").withColumn("_i", F.row_number().over(cells.orderBy("_v"))).withColumn("_n", F.count("*").over(cells))
+    middle = F.max(F.when(F.col("_i") == F.floor((F.col("_n") + 1) / 2), F.col("_v"))).over(cells)
+    low = ranked.withColumn("_m", middle).where("_v <= _m")
     sums = low.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sum("_c").alias("_s"),

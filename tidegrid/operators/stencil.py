@@ -66,8 +66,9 @@ def median2d(df: DataFrame, keys: list[str], x: str, t: str, value: str, nx: int
     bt, at = (nt - 1) // 2 if nt % 2 else nt // 2 - 1, nt // 2
     wt = Window.partitionBy(*keys, x).orderBy(t).rowsBetween(-bt, at)
     wx = Window.partitionBy(*keys, t).orderBy(x).rowsBetween(-bx, ax)
-    rows = df.withColumn("_l", F.collect_list(value).over(wt)).withColumn("_nt", F.count(F.lit(1)).over(wt))
-    rows = rows.withColumn("_ll", F.flatten(F.collect_list("_l").over(wx))).withColumn("_nx", F.count(F.lit(1)).over(wx))
+    one = F.array_compact(F.array(value))  # a side of one needs no window
+    rows = df.withColumn("_l", F.collect_list(value).over(wt) if nt > 1 else one).withColumn("_nt", F.count(F.lit(1)).over(wt) if nt > 1 else F.lit(1))
+    rows = rows.withColumn("_ll", F.flatten(F.collect_list("_l").over(wx)) if nx > 1 else F.col("_l")).withColumn("_nx", F.count(F.lit(1)).over(wx) if nx > 1 else F.lit(1))
     outside = (F.lit(nx * nt) - F.col("_nx") * F.col("_nt")).cast("int")
     padded = F.concat(F.col("_ll"), F.array_repeat(F.lit(0.0), outside))
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), middle(padded))).drop("_l", "_ll", "_nt", "_nx")

@@ -16,7 +16,7 @@ from tidegrid.functions import basic, times
 from tidegrid.operators import contours, gaps, geometry, inpaint, planefit, profiles, raster, runup, spectral, stack, stencil, windows
 from tidegrid.plans import pipelines
 from tidegrid.sources import catalog
-from tidegrid.sources.shared import scratch
+from tidegrid.sources.shared import held, scratch
 from tidegrid.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,7 +669,7 @@ def squeezed(spark, sf_dir) -> DataFrame:
 def l2_products(spark, sf_dir):
     """Points to stacks, cleaned stacks and their products: one row a kind and scan with what it holds."""
     o = pipelines.L2([[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]], [(-1.0, -1.0), (101.0, -1.0), (101.0, 4.0), (-1.0, 4.0)], geometry.Transect(0.0, 1.0, 100.0, 1.0, 0.5), most_intensity=1000.0, minutes=0.1)
-    clean = pipelines.l2_cleaned(pipelines.l2_stack(squeezed(spark, sf_dir), o), o)
+    clean = held(pipelines.l2_cleaned(held(pipelines.l2_stack(squeezed(spark, sf_dir), o), "stack"), o), "clean")
     found = {"stack": clean.groupBy("scan_id").agg(F.count("*").alias("n_rows"))} | {k: v.groupBy("scan_id").agg(F.count("*").alias("n_rows")) for k, v in pipelines.l2_products(clean, o).items()}
     out = None
     for kind, rows in found.items():
