@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.sources.shared import drop, so_far  # noqa: F401
+from tidegrid.sources.shared import held as cut  # noqa: F401
+from tidegrid.sources.shared import scratch  # noqa: F401
+
 #: ``[^\\x20\\x09-\\x0D]+`` in Java's syntax: a word is a run of anything but ASCII white space.
 WORD_BREAK = "[ \\t-\\r]+"
 
@@ -19,50 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A URI that the driver and all executors can write to.
-
-    It is ``spark.checkpoint.dir`` where that is set. Only a local session
-    may go without: driver and executors are one process then, and a
-    temporary folder serves.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tidegrid-")
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else f"file://{found.rstrip('/')}"
-
-
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt out anew where they lie in fewer partitions than the session has cores, as those of a few small files do."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A fresh folder name in the shared folder."""
-    return f"{shared_dir(spark)}/tidegrid/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """Writes the rows to the shared folder and reads them again, so that no later failure recomputes what led to them."""
-    spark = df.sparkSession
-    path = scratch(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ``scratch`` through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def open_fs(uri: str):
     """(pyarrow file system, path in it) of a URI: file, hdfs, s3, gs and what else pyarrow knows."""
     from pyarrow import fs

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut
+from tidegrid.llm.common import cut, drop, so_far
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         now = cut(_star(now), "edges")
         found = mark(now)
+        drop(edges.sparkSession, so_far() - 2, 1)  # the round before, of which nothing more is read
         if found == seen:
             break
         seen = found
