@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, langid, mixing, near_copies, quality
-from tidegrid.llm.common import cut, table
+from tidegrid.llm.common import cut, drop, so_far, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -53,7 +53,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's rows written and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        begin = so_far()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs, "stage")
+            drop(spark, max(0, begin - (i > 0)), 1)  # what the stage wrote and read
     return docs
