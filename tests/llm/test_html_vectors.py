@@ -4,7 +4,7 @@ from tidegrid.llm.html_extract import PATH, WORD, Block, vectors
 
 
 def vector(text):
-    return vectors([Block(text, [], (), 0)])[0]
+    return vectors([Block(text, None, 0)])[0]
 
 
 def test_every_word_and_digit_of_a_block_counts():

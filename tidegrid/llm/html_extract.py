@@ -45,7 +45,9 @@ TOKEN = re.compile(
     # Raw text runs to its end tag or the page's end; the others are skipped only where their own end tag comes first.
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(noscript|template|select)(?=[\s/>])[^>]*>(?:(?!<\2[\s/>]).)*?</\2\s*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|([^<]+|<)",
+    # A tag ends at the first > outside quotes, or, where a quote is not closed before the page or the next tag ends, at the first > at all.
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>"
+    r"|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
@@ -78,43 +80,64 @@ def path_buckets(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(names)
 
 
+@dataclass(frozen=True)
+class Path:
+    """The innermost open block element and those around it: blocks inside one element share it, whatever its depth."""
+
+    tag: str
+    names: frozenset[int]  # buckets of all elements on the path
+    depth: int
+    above: Path | None
+
+    @classmethod
+    def inside(cls, above: Path | None, tag: str, own: tuple[int, ...]) -> Path:
+        names = above.names if above else frozenset()
+        return cls(tag, names if names.issuperset(own) else names.union(own), above.depth + 1 if above else 1, above)
+
+
 @dataclass
 class Block:
     text: str
-    path: list[tuple[int, ...]]
-    tags: tuple[str, ...]
+    path: Path | None
     linked: int  # characters inside links
 
 
 def blocks_of(source: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, Path | None]] = []  # each open element, with the path of block elements up to it
+    count: dict[str, int] = {}  # of the open elements, by name
     parts: list[str] = []
     linked = anchors = 0
 
+    def close(at: int) -> None:
+        nonlocal anchors
+        for tag, _ in stack[at:]:
+            count[tag] -= 1
+            anchors -= tag == "a"
+        del stack[at:]
+
     def flush() -> None:
         nonlocal linked
         if parts:
             raw = "".join(parts)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                outer = [s for s in stack if s[0] not in INLINE]
-                out.append(Block(text, [s[1] for s in outer], tuple(s[0] for s in outer), linked))
+                out.append(Block(text, stack[-1][1] if stack else None, linked))
             parts.clear()
         linked = 0
 
     for m in TOKEN.finditer(source):
-        text = m[6]
+        text = m[9]
         if text is not None:
             parts.append(text)
             if anchors:
                 linked += len(text.strip())
             continue
-        tag = m[4]
+        tag = m[4] or m[7]
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, ends, attributes = tag.lower(), m[3] or m[6], m[5] or m[8] or ""
         inline = tag in INLINE
         if not inline:
             flush()
@@ -122,24 +145,25 @@ def blocks_of(source: str) -> list[Block]:
             parts.append(" ")
         if tag in VOID:
             continue
-        if m[3]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            # An inline end tag never closes a block; a block's end tag closes what is open inside it.
-            if at >= 0 and not (inline and any(s[0] not in INLINE for s in stack[at + 1 :])):
-                anchors -= sum(s[0] == "a" for s in stack[at:])
-                del stack[at:]
+        if ends:
+            # An inline end tag never closes a block; a block's end tag closes what is open inside it. Both look no further than they may close, and only for what is open.
+            at = len(stack) - 1 if count.get(tag) else -1
+            while at >= 0 and stack[at][0] != tag:
+                at = -1 if inline and stack[at][0] not in INLINE else at - 1
+            if at >= 0:
+                close(at)
         else:
             if tag in ENDS:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ENDS[tag]:
-                        anchors -= sum(s[0] == "a" for s in stack[i:])
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            if not (m[5] or "").endswith("/"):
-                attributes = m[5] or ""
-                stack.append((tag, path_buckets(tag, attributes if "=" in attributes else "") if not inline else ()))
+            if not attributes.endswith("/"):
+                above = stack[-1][1] if stack else None
+                stack.append((tag, above if inline else Path.inside(above, tag, path_buckets(tag, attributes if "=" in attributes else ""))))
+                count[tag] = count.get(tag, 0) + 1
                 anchors += tag == "a"
     flush()
     return out
@@ -151,9 +175,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     path, words, weights, shapes = [], [], [], []
     for i, b in enumerate(blocks):
         base = i * WIDTH
-        for names in b.path:
-            for k in names:
-                path.append(base + k)
+        if b.path:
+            path += [base + k for k in b.path.names]
         own = b.text.lower().split()
         words += [base + PATH + (bucket if len(w) <= 40 else bucket.__wrapped__)("word", w, WORD) for w in own]
         # A block of up to 12 words adds them up, a longer one has the mean of 12.
@@ -170,7 +193,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
                 i / n,
                 1 / (1 + i),
                 1 / (n - i),
-                len(b.path) / 10,
+                (b.path.depth if b.path else 0) / 10,
             )
         )
     x.ravel()[path] = 1
