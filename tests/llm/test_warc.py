@@ -70,3 +70,9 @@ def test_damage_is_found():
             list(warc.records(io.BytesIO(gzip.compress(bad))))
     with pytest.raises(warc.Broken):
         list(warc.records(io.BytesIO(good[:-5])))
+
+
+def test_very_long_urls_come_back(spark):
+    rows = [(1, "u" * (3 << 20), "one"), (2, "v" * (3 << 20), "one"), (3, None, "two")]
+    out = warc.write_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (len(r.url), r.record_type, r.refers_to) for r in out} == {1: (3 << 20, "response", None), 2: (3 << 20, "revisit", 1), 3: (0, "response", None)}

@@ -124,13 +124,14 @@ def members(stream, chunk: int = 1 << 18) -> Iterator[Iterator[bytes]]:
         waiting = z.unused_data or stream.read(chunk)
 
 
-def records(stream, most_header: int = 1 << 20) -> Iterator[Record]:
-    """Every record, framed by its Content-Length and held against its digests."""
+def records(stream) -> Iterator[Record]:
+    """Every record, framed by its Content-Length and held against its digests. A header is as long as it is; its end is looked for within its own gzip member."""
     for pieces in members(stream):
-        buffer = bytearray()
-        while (at := buffer.find(b"\r\n\r\n")) < 0:
+        buffer, seen = bytearray(), 0
+        while (at := buffer.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(buffer) - 3)
             piece = next(pieces, None)
-            if piece is None or len(buffer) > most_header:
+            if piece is None:
                 raise Broken("a record has no header")
             buffer += piece
         version, *lines = bytes(buffer[:at]).decode("utf-8", "surrogatepass").split("\r\n")
