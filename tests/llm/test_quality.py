@@ -79,3 +79,19 @@ def test_odd_rows(spark):
     for r in got:
         same(r.asDict(), r.text)
     assert quality.judge(df.where(F.lit(False))).count() == 0
+
+
+def test_no_step_in_length():
+    """A text of a given make is not judged by whether it has some number of words."""
+    r = random.Random(1)
+    lengths = list(range(12, 120))
+    for share in (0.1, 0.3, 0.5):
+        verdicts = []
+        for n in lengths:
+            own = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            for k in range(0, int(share * n) - 1, 3):
+                own[k : k + 2] = ["same", "pair"]
+            verdicts.append(quality.measure(" ".join(own))["kept"])
+        changes = sum(a != b for a, b in zip(verdicts, verdicts[1:]))
+        assert verdicts == sorted(verdicts, reverse=True) or changes <= 4, (share, changes)
+    assert not quality.measure(" ".join(["same pair"] * 24))["kept"] and not quality.measure(" ".join(["same pair"] * 26))["kept"]

@@ -32,8 +32,8 @@ DUPLICATED = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
 LINES, LINE_CHARS, LEAST_LINES = 0.30, 0.20, 3
 #: Symbols a word.
 SYMBOLS_A_WORD = 0.10
-#: Below so many words a share says little: one repeated phrase fills a short text.
-LEAST_WORDS = 50
+#: Characters added to a text's own where shares are held against their limits, at every length: one repeated phrase fills much of a short text and little of a long one.
+SLACK = 100
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of BASE and of its inverse modulo 2 ** 64
@@ -107,7 +107,7 @@ def measure(text: str | None) -> dict:
                 dup_chars += len(line) - sum(map(line.count, SPACES))
             seen.add(line)
     n_symbols = sum(map(text.count, SYMBOLS))
-    shares, over, repeat_words = {}, False, 0
+    share, over, repeat_words = 0.0, False, 0
     if len(words) > 2:
         windows = Windows(ids)
         for n in sorted({*TOP, *DUPLICATED, WINDOW}):
@@ -117,12 +117,11 @@ def measure(text: str | None) -> dict:
             if n == WINDOW:
                 repeat_words = int(inside.sum())
             if n in TOP:
-                shares[f"top_{n}"] = most * int(chars[at : at + n].sum()) / max(total, 1)
-                over |= shares[f"top_{n}"] > TOP[n]
+                over |= most * int(chars[at : at + n].sum()) > TOP[n] * (total + SLACK)
             if n in DUPLICATED:
-                shares[f"dup_{n}"] = int(chars[inside].sum()) / max(total, 1)
-                over |= shares[f"dup_{n}"] > DUPLICATED[n]
-    over = over and len(words) >= LEAST_WORDS
+                covered = int(chars[inside].sum())
+                share = max(share, covered / max(total, 1))
+                over |= covered > DUPLICATED[n] * (total + SLACK)
     over |= n_dup >= LEAST_LINES and (n_dup > LINES * n_lines or dup_chars > LINE_CHARS * total)
     over |= n_symbols > SYMBOLS_A_WORD * len(words)
     failed = len(words) < 10 or 100 * repeat_words > 20 * len(words)
@@ -132,7 +131,7 @@ def measure(text: str | None) -> dict:
         "n_symbols": n_symbols,
         "n_dup_lines": n_dup,
         "n_repeat_words": repeat_words,
-        "dup_chars_share": max([0.0, *(v for k, v in shares.items() if k.startswith("dup"))]),
+        "dup_chars_share": share,
         "base_failed": failed,
         "kept": not failed and not over,
     }
