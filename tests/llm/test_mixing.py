@@ -79,3 +79,22 @@ def test_better_documents_are_drawn_more_often(spark):
     got = mixing.mix(df, weights=(1.0, 3.0), quality=F.when(F.col("doc_id") % 4 < 2, 1.0).otherwise(0.2)).where("source = 'b'")
     part = {bool(r.good): r.n for r in mixing.mix(df, weights=(3.0, 1.0), quality=F.when(F.col("doc_id") % 4 < 2, 1.0).otherwise(0.2)).where("source = 'b' and taken > 0").groupBy((F.col("doc_id") % 4 < 2).alias("good")).agg(F.count("*").alias("n")).collect()}
     assert part[True] > 2 * part[False] and got.count() == 2000
+
+
+def test_mixed_documents_hold_what_mix_takes(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(30))), r.choice(["a", "b", None]), "x", 7) for i in range(200)]
+    rows += [(900, None, "a", "x", 7), (901, "", "b", None, None), (902, "one two", "b", "x", 7), (902, "one two", "b", "x", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, words string, part int")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    taken = {}
+    for x in out.collect():
+        taken[x.doc_id] = taken.get(x.doc_id, 0) + len(x.text.split())
+        whole = {t for d, t, *_ in rows if d == x.doc_id}
+        assert x.text in whole or any(t and t.split()[: len(x.text.split())] == x.text.split() for t in whole)
+    want = {}
+    for x in mixing.mix(df).collect():
+        want[x.doc_id] = want.get(x.doc_id, 0) + x.taken
+    assert taken == {d: n for d, n in want.items() if n}
+    assert mixing.mixed_documents(df.where(F.lit(False))).count() == 0

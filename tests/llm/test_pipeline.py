@@ -58,3 +58,23 @@ def test_one_of_each_with_odd_rows(spark):
     got = sorted(map(str, (tuple(r) for r in simhash.one_of_each(df).collect())))
     assert got == sorted(map(str, [(1, "a b c d", "y"), (None, "lone one", "z"), (7, None, None)]))
     assert simhash.one_of_each(df.where("false")).count() == 0
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and columns whose names the stages use themselves."""
+    t = spark.read.parquet(f"{SF}/documents.parquet")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, cls long, size long, row long"
+    long_text = " ".join(f"{a} {b}" for a, b in zip("the people of this country walked along".split() * 9000, (f"word{i}" for i in range(63000))))
+    good = t.where("lang = 'en'").orderBy("doc_id").first().text
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, " \n\t", "en", None, 3), (3, long_text, None, "a", 9), (4, good, "en", "b", 1), (4, good, "en", "b", 1), (None, good + " and more", None, None, None)]
+    odd = spark.createDataFrame([(*x, 0.5, 1, 2, 3) for x in rows], kinds)
+    docs = t.selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars", "0.5D AS score", "1L AS cls", "2L AS size", "3L AS row").union(odd)
+    for made in (docs, docs.where("false"), odd.where("text is null")):
+        now = made
+        for name, stage in corpus_pipeline.STAGES:
+            columns = now.columns
+            now = stage(spark, now, "")
+            if name != "byte-level BPE":
+                assert now.columns == columns, name
+        found = now.collect()
+        assert bool(found) == (made is docs)

@@ -75,10 +75,10 @@ def mix(
     source: str = "source",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, taken) for every row, and the columns ``keep``."""
+    """(doc_id, source, size, source_size, target, epochs, taken) for every row, and, with ``keep``, these columns in the struct ``held``."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 11) + 0.5) / float(1 << 53)
     key = -F.log(u) / (quality if quality is not None else quality_of(text))
-    held = F.struct(*keep) if keep else F.lit(None).cast("string")
+    held = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), key.alias("key"), held.alias("held"))
     if not keep:
         rows = cut(rows.drop("held"), "sizes").withColumn("held", F.lit(None).cast("string"))
@@ -105,18 +105,20 @@ def mix(
     there = F.coalesce(F.sum("size").over(ranked), F.lit(0))
     split = told.where("bin = edge").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - there)))
     taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
-    return whole.unionByName(split).select("doc_id", "source", "size", "source_size", "target", "epochs", taken, *[F.col(f"held.{c}").alias(c) for c in keep if c not in ("doc_id", "source")])
+    return whole.unionByName(split).select("doc_id", "source", "size", "source_size", "target", "epochs", taken, *(["held"] if keep else []))
 
 
 def mixed_documents(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself, with the columns of df: each document as often as whole epochs take it, and once more, cut behind its last word, where it is taken in part."""
     told = mix(df, keep=tuple(df.columns), text=text, **options)
     rest = F.col("taken") - F.col("epochs") * F.col("size")
+    none = F.array().cast("array<bigint>")
     copies = F.concat(
-        F.when((F.col("epochs") > 0) & (F.col("size") > 0), F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<bigint>")),
-        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
+        F.when((F.col("epochs") > 0) & (F.col("size") > 0), F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int"))).otherwise(none),
+        F.when(rest > 0, F.array(rest)).otherwise(none),
     )
-    each = told.select(*told.columns, F.explode(copies).alias("words"))
-    first = F.array_join(F.slice(F.filter(F.split(F.col(text), WORD_BREAK), lambda w: w != ""), 1, F.greatest(F.lit(1), F.col("words").cast("int"))), " ")
-    part = F.when((F.col("words") > 0) & (F.col("words") < F.col("size")), first).otherwise(F.col(text))
-    return each.withColumn(text, part).select(*df.columns)
+    each = told.select("held", "size", F.explode(copies).alias("words"))
+    own = F.col("held")[text]
+    first = F.array_join(F.slice(F.filter(F.split(own, WORD_BREAK), lambda w: w != ""), 1, F.greatest(F.lit(1), F.col("words").cast("int"))), " ")
+    part = F.when((F.col("words") > 0) & (F.col("words") < F.col("size")), first).otherwise(own)
+    return each.select(*[part.alias(c) if c == text else F.col("held")[c].alias(c) for c in df.columns])
