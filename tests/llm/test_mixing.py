@@ -98,3 +98,11 @@ def test_mixed_documents_hold_what_mix_takes(spark):
         want[x.doc_id] = want.get(x.doc_id, 0) + x.taken
     assert taken == {d: n for d, n in want.items() if n}
     assert mixing.mixed_documents(df.where(F.lit(False))).count() == 0
+
+
+def test_no_bin_holds_much_of_a_source(spark):
+    """Whatever the quality weight, the bin in which a budget may end is a small share of the documents."""
+    for quality in (0.048, 0.2, 1.0):
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col("id")), 11) + 0.5) / float(1 << 53)
+        bins = spark.range(200_000).select(F.floor(mixing.BINS * F.log2(-F.log(u) / quality)).alias("bin")).groupBy("bin").count()
+        assert bins.agg(F.max("count")).first()[0] < 0.001 * 200_000

@@ -7,9 +7,11 @@ what is then left, documents are taken in the order of their keys until
 their prefix sum reaches the budget, and the document at which it does so is
 taken in part.
 
-No source is sorted as a whole. Keys fall into ``BINS`` bins of equal
-expected load; sums by bin, combined before their shuffle, show the one bin
-in which a source's budget ends, and only that bin's documents are sorted.
+No source is sorted as a whole. Keys fall into ``BINS`` bins an octave: of
+documents of any one quality weight a bin expects ln 2 / e / BINS at most,
+0.05 %, whatever that weight is. Sums by bin, combined before their shuffle,
+show the one bin in which a source's budget ends, and only that bin's
+documents are sorted.
 
 Targets: sources in the order of their names' code points (null last) weigh
 ``weights``, repeating, and share all words; none gets more than ``most``
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import WORD_BREAK, as_text, cut
 
-BINS = 4096
+BINS = 512
 #: A table of so many sources at most is broadcast; a larger one is joined by its key.
 MOST_BROADCAST = 100_000
 
@@ -82,12 +84,12 @@ def mix(
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), key.alias("key"), held.alias("held"))
     if not keep:
         rows = cut(rows.drop("held"), "sizes").withColumn("held", F.lit(None).cast("string"))
-    rows = rows.withColumn("bin", F.floor(BINS * (1 - F.exp(-F.col("key")))).cast("int"))
+    rows = rows.withColumn("bin", F.floor(BINS * F.log2(F.greatest(F.col("key"), F.lit(1e-300)))).cast("int"))
     bins = cut(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     named = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most).withColumnRenamed("source", "of")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
-    # The bins of a source are at most BINS rows.
+    # Keys span some forty octaves, so the bins of a source are some twenty thousand rows at most.
     ends = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin"))
     cumulated = (
         bins.withColumn("bin_end", ends)
@@ -98,7 +100,7 @@ def mix(
     )
     # The bin in which the budget ends, and what is left for it; one row a source.
     edge = cumulated.groupBy(F.col("source").alias("of"), "source_size", "target", "epochs").agg(F.min(F.when(F.col("bin_end") > F.col("budget"), F.struct("bin", "left"))).alias("at"))
-    edge = cut(edge.select("of", "source_size", "target", "epochs", F.coalesce("at.bin", F.lit(BINS + 1)).alias("edge"), F.col("at.left").alias("left")), "targets")
+    edge = cut(edge.select("of", "source_size", "target", "epochs", F.coalesce("at.bin", F.lit(1 << 30)).alias("edge"), F.col("at.left").alias("left")), "targets")
     told = rows.join(F.broadcast(edge) if edge.count() <= MOST_BROADCAST else edge, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     whole = told.where("bin != edge").withColumn("part", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0))
     ranked = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
