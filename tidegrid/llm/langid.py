@@ -235,8 +235,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(df: DataFrame, each: int = 600, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> Model:
-    """Trains on at most ``each`` documents a language, those of least hash: the bounded sample.
+def fit(df: DataFrame, each: int = 600, most_bytes: int = 1 << 24, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> Model:
+    """Trains on at most ``each`` documents a language, those of least hash, and of these on the first ``most_bytes`` bytes' worth of whole texts (one at least): the bounded sample.
 
     The sample is chosen from ids and labels alone; texts are read for its
     rows only after that.
@@ -254,7 +254,9 @@ def fit(df: DataFrame, each: int = 600, doc_id: str = "doc_id", text: str = "tex
     picked = low.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
     bound = small(picked.select("lang", "key").distinct())  # `each` rows a language at most
     own = usable.select(F.col(lang).alias("lang"), F.col(doc_id).alias("key"), F.col(text).alias("text"))
-    chosen = own.join(bound, ["lang", "key"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text")))).where(F.col("n") <= each)
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
+    chosen = own.join(bound, ["lang", "key"]).withColumn("n", F.row_number().over(by_hash)).withColumn("size", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = chosen.where((F.col("n") <= each) & ((F.col("n") == 1) | (F.col("size") <= most_bytes)))
     rows = sorted(((r.key, r.text, r.lang) for r in chosen.select("key", "text", "lang").collect()), key=lambda x: (hash_of(x[0]), x[1], x[2]))
     return train([x[1] for x in rows], [x[2] for x in rows], **options)
 
