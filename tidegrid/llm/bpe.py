@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import Cache, slices, spread, texts_of
+from tidegrid.llm.common import UnitEncoder, slices, spread, texts_of
 
 NO_LIMIT = 1 << 62
 
@@ -304,14 +304,17 @@ class Together:
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each as little-endian 32-bit integers; none of the strings may be empty."""
-        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return self.encode_parts(b"".join(pieces), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))
+
+    def encode_parts(self, joined: bytes, ends: np.ndarray) -> list[bytes]:
+        """The same for strings that lie side by side."""
+        data = np.frombuffer(joined, np.uint8).astype(np.int64)
         starts = np.concatenate([[0], ends[:-1]])
         last = self.last(data, starts, ends)
         if (last < 0).any():
             raise ValueError("a byte has no token")
-        count, rounds = np.zeros(len(pieces), np.int64), []
-        who, at = np.arange(len(pieces)), ends.copy()
+        count, rounds = np.zeros(len(ends), np.int64), []
+        who, at = np.arange(len(ends)), ends.copy()
         while len(who):
             t = last[at - 1]
             rounds.append((who, t))
@@ -327,22 +330,16 @@ class Together:
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
-class TextEncoder:
-    """Whole texts to ids: the pattern's matches that are not known yet are encoded ``Together``.
-
-    The pattern never matches across a step from other characters to white
-    space, so what lies between two single spaces, with the space before it,
-    is encoded alike wherever it stands. Such units are looked up first; of
-    those not known the pattern's matches are. A text with other runs of
-    white space takes the pattern over all of it. Long texts are taken in
-    parts that begin at such a step.
-    """
+class TextEncoder(UnitEncoder):
+    """Whole texts to ids: the matches of the pattern in what is not known yet are encoded ``Together``. Long texts are taken in parts that begin where other characters end and white space begins, which no match crosses."""
 
     LONG_PIECE = 256  # bytes; longer ones would be alone in their last steps
 
     def __init__(self, vocabulary: Vocabulary, entries: int = 150_000, part: int = 1 << 20):
-        self.v, self.part = vocabulary, part
-        self.units, self.pieces = Cache(entries), Cache(entries // 2)
+        super().__init__(entries, part)
+        self.v = vocabulary
+        #: Pieces whose token does not arise by merges: they are that token all the same.
+        self.unmerged = {b: i for b, i in vocabulary.ranks.items() if vocabulary.halves(i) is None}
 
     @functools.cached_property
     def together(self) -> Together:
@@ -364,16 +361,34 @@ class TextEncoder:
             start = cut.start()
         return [*out, text[start:]] if start else [text]
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers. Some parts at a time, so that the strings in memory are bounded."""
+    def letters(self, words: list[str]) -> list[bytes]:
+        long = {w: self.pieces([f" {w}"])[f" {w}"] for w in words if len(w) > 64}
+        own = [w for w in words if w not in long] if long else words
+        joined = f" {' '.join(own)}".encode("utf-8", "surrogatepass")
+        spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        found = self.together.encode_parts(joined, np.append(spaces[1:], len(joined))) if own else []
+        if self.unmerged:
+            found = [x if (i := self.unmerged.get(f" {w}".encode("utf-8", "surrogatepass"))) is None else struct.pack("<i", i) for w, x in zip(own, found)]
+        if not long:
+            return found
+        long.update(zip(own, found))
+        return [long[w] for w in words]
+
+    def others(self, words: list[str]) -> list[bytes]:
+        matches = self.v.pattern.findall(f" {' '.join(words)}")
+        known = self.pieces(dict.fromkeys(matches))
+        ids, edges = list(map(known.__getitem__, matches)), [k for k, m in enumerate(matches) if m[0] == " "]  # each word begins with the one space that it has
+        edges.append(len(matches))
+        if len(edges) != len(words) + 1:
+            raise ValueError("a word does not begin with its space")
+        return [ids[a] if b == a + 1 else b"".join(ids[a:b]) for a, b in zip(edges, edges[1:])]
+
+    def wholes(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
         held, size = [], 0
         for i, text in enumerate(texts):
             for part in self.parts(text):
-                words = part.split(" ")
-                ids = list(map(self.units.now.get, words))
-                ids[0] = None  # the first has no space before it
-                held.append((i, part, words, ids))
+                held.append((i, self.v.pattern.findall(part)))
                 size += len(part)
                 if size > self.part:
                     self._settle(held, out)
@@ -382,60 +397,28 @@ class TextEncoder:
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     def _settle(self, held: list, out: list[list[bytes]]) -> None:
-        """Adds the ids of (text's index, part, its words, their ids where known)."""
-        units, by_pattern, whole, find = {}, [], set(), self.v.pattern.findall
-        for n, (_, part, words, ids) in enumerate(held):
-            holes = [w for w, x in zip(words, ids) if x is None]
-            first = holes[0]
-            if len(words) > 1 and (not first or first[-1].isspace()) or any(not w or w[0].isspace() or w[-1].isspace() for w in holes[1:]):
-                by_pattern.append(find(part))
-                whole.add(n)
-            else:
-                by_pattern.append(find(first))
-                units.update(dict.fromkeys(holes[1:]))
-        new = [w for w in units if w not in self.units.older]
-        units |= {w: self.units.older[w] for w in units if w in self.units.older}
-        matches = find(f" {' '.join(new)}") if new else []
-        known = self.learn(dict.fromkeys(matches).keys() | {m for own in by_pattern for m in own})
-        # Each unit begins with the one space that it has.
-        parts, edges = list(map(known.__getitem__, matches)), [k for k, m in enumerate(matches) if m[0] == " "]
-        edges.append(len(matches))
-        for w, a, b in zip(new, edges[:-1], edges[1:], strict=True):
-            units[w] = parts[a] if b == a + 1 else b"".join(parts[a:b])
-        self.units.put(units)
-        for n, (i, part, words, ids) in enumerate(held):
-            ids[0] = b"".join(map(known.__getitem__, by_pattern[n]))
-            if n in whole:
-                out[i].append(ids[0])
-            else:
-                out[i].append(b"".join([units[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids))
+        known = self.pieces({m for _, matches in held for m in matches})
+        for i, matches in held:
+            out[i].append(b"".join(map(known.__getitem__, matches)))
 
-    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """The ids of these pieces."""
+    def pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of these matches of the pattern."""
         found, new, raw = {}, [], []
-        now, older, ranks = self.pieces.now, self.pieces.older, self.v.ranks
         for piece in pieces:
-            ids = now.get(piece)
-            if ids is None:
-                ids = older.get(piece)
-            if ids is None:
-                data = piece.encode("utf-8", "surrogatepass")
-                if data in ranks:
-                    ids = struct.pack("<i", ranks[data])
-                elif len(data) > self.LONG_PIECE:
-                    own = Prefixes(self.v, data).tokens()
-                    ids = struct.pack(f"<{len(own)}i", *own)
-                else:
-                    new.append(piece)
-                    raw.append(data)
-                    continue
-            found[piece] = ids
+            data = piece.encode("utf-8", "surrogatepass")
+            if data in self.v.ranks:
+                found[piece] = struct.pack("<i", self.v.ranks[data])
+            elif len(data) > self.LONG_PIECE:
+                own = Prefixes(self.v, data).tokens()
+                found[piece] = struct.pack(f"<{len(own)}i", *own)
+            else:
+                new.append(piece)
+                raw.append(data)
         found.update(zip(new, self.together.encode(raw) if raw else []))
-        self.pieces.put(found)
         return found
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed([text])[0], "<i4").tolist()
+        return np.frombuffer(self.encode_batch([text])[0], "<i4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.token_bytes.__getitem__, ids))
@@ -458,7 +441,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", id
     def run(batches):
         own = encoder(path, pattern)
         for batch in slices(batches, text):
-            packed = own.packed(texts_of(batch.column(text)))
+            packed = own.encode_batch(texts_of(batch.column(text)))
             flat = np.frombuffer(b"".join(packed), "<i4")
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             back = [own.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]

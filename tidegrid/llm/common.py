@@ -94,17 +94,107 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-class Cache:
-    """Values by short strings. A full cache becomes the older one, from which what is met again comes back."""
+class UnitEncoder:
+    """Ids of whole texts, some texts at a time, by what lies between two single spaces.
+
+    Byte-level pre-tokenisation never joins white space to what stands
+    before it, so such a word with the one space before it is encoded alike
+    wherever it stands. Words of letters alone are matched by the pattern
+    together with that space; a mark behind them is a match of its own. Known
+    words are looked up, the others of some texts are encoded together. Texts
+    with other runs of white space are encoded whole.
+    """
 
-    LONGEST = 64
+    MARKS, LONGEST = ".,;:!?", 64  # words of more characters are not kept
 
-    def __init__(self, entries: int):
-        self.entries = entries
+    def __init__(self, entries: int, part: int):
+        """entries: how many words are kept before these become the older ones, from which what is met again comes back; part: characters of the texts that go together."""
+        self.entries, self.part, self.marks = entries, part, {}
         self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def put(self, found: dict[str, bytes]) -> None:
-        if len(self.now) + len(found) > self.entries:
+    def letters(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each of these words of letters."""
+        raise NotImplementedError
+
+    def others(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each of these words, which neither begin nor end with white space."""
+        raise NotImplementedError
+
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def apart(self, text: str) -> bool:
+        """Whether this text, or word, must be encoded whole."""
+        return False
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if not self.marks:
+            self.marks = dict(zip(self.MARKS, self.wholes(list(self.MARKS))))
+        out, start = [], 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size < self.part):
+                size += len(texts[end])
+                end += 1
+            out += self._some(texts[start:end])
+            start = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        if len(self.now) > self.entries:
             self.older, self.now = self.now, {}
-        self.now.update((k, v) for k, v in found.items() if len(k) <= self.LONGEST)
+        get, now, older = self.now.get, self.now, self.older
+        whole, split, new, odd = set(), [], set(), set()
+        for i, text in enumerate(texts):
+            words = text.split(" ")
+            head = words.pop(0)  # the first word has no space before it
+            if words and (not head or head[-1].isspace()) or self.apart(text):
+                whole.add(i)
+                continue
+            ids = list(map(get, words))
+            holes = []
+            if None in ids:
+                holes = [k for k, x in enumerate(ids) if x is None]
+                for k in holes:
+                    w = words[k]
+                    if w in older:
+                        now[w] = older[w]
+                    elif w not in new:
+                        if not w or w[0].isspace() or w[-1].isspace():
+                            whole.add(i)
+                            break
+                        new.add(w)
+            split.append((i, head, words, ids, holes))
+        self._learn(new)
+        alone = sorted(whole)
+        split = [x for x in split if x[0] not in whole]
+        known = self.wholes([texts[i] for i in alone] + [x[1] for x in split])
+        out = [b""] * len(texts)
+        for i, first in zip(alone, known):
+            out[i] = first
+        for (i, _, words, ids, holes), first in zip(split, known[len(alone) :]):
+            for k in holes:
+                ids[k] = now[words[k]]
+            out[i] = b"".join([first, *ids])
+        for w in new:
+            if len(w) > self.LONGEST:
+                now.pop(w, None)
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Takes in these words, which neither begin nor end with white space."""
+        now, older = self.now, self.older
+        letters = [w for w in new if w.isalpha()]
+        rest = new.difference(letters)
+        marked = [w for w in rest if w[-1] in self.marks and w[:-1].isalpha()]
+        others = list(rest.difference(marked))
+        letters += {b for w in marked if (b := w[:-1]) not in new and b not in now and b not in older}
+        if letters:
+            now.update(zip(letters, self.letters(letters), strict=True))
+        for w in marked:
+            base = w[:-1]
+            now[w] = (now[base] if base in now else older[base]) + self.marks[w[-1]]
+        if others:
+            now.update(zip(others, self.others(others), strict=True))

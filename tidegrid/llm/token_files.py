@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import Cache, open_fs, scratch, slices, written_files
+from tidegrid.llm.common import UnitEncoder, open_fs, scratch, slices, written_files
 
 MAGIC, BLOCK = b"TGBITS01", 4096
 FOOTER = struct.Struct("<QQQQ8s")
@@ -146,78 +146,61 @@ class Reader:
                 yield None if self.nulls[k] else int(self.doc_ids[k]), int(self.firsts[k]), flat[self.firsts[k] - base : self.firsts[k + 1] - base]
 
 
-class CachedTokenizer:
-    """The tokenizers library, with what lies between two single spaces cached.
+def spelled() -> dict[int, str]:
+    """How byte-level vocabularies spell each byte: printable ones of Latin-1 as themselves, the others in order from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    Byte-level pre-tokenisation never joins white space to what stands
-    before it, so a word with the single space before it is encoded alike
-    wherever it stands. All such words of a batch that are not known go to
-    the library as one text; a word's ids begin where a token begins with a
-    space, for it has no other. Texts with other runs of white space and
-    texts that hold a special token's string go to the library whole.
+
+class CachedTokenizer(UnitEncoder):
+    """The tokenizers library, with words cached.
+
+    Unknown words of letters, which are one match of the pattern each, go
+    to the library's model as one text that is parted at the spaces alone;
+    other words as one text through the whole library. In both a word's
+    ids begin where a token begins with a space, for it has no other. Texts
+    that hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str, entries: int = 300_000, part: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.part = Tokenizer.from_file(path), part
+        super().__init__(entries, part)
+        self.library, self.spelled = Tokenizer.from_file(path), spelled()
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(self.spelled[32], "merged_with_next")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
-        self.units = Cache(entries)
-        self.opens = np.zeros(self.size, bool)  # tokens that begin with a space, which byte-level vocabularies spell so
+        self.opens = np.zeros(self.size, bool)  # tokens that begin with a space
         for token, i in self.library.get_vocab().items():
-            self.opens[i] = token.startswith("\u0120") and token not in self.special
-        self.splits = not any(" " in s for s in self.special)
+            self.opens[i] = token.startswith(self.spelled[32]) and token not in self.special
+
+    def apart(self, text: str) -> bool:
+        return any(map(text.__contains__, self.special))
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def wholes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, some texts at a time."""
-        out, start = [], 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (end == start or size < self.part):
-                size += len(texts[end])
-                end += 1
-            out += self._some(texts[start:end])
-            start = end
-        return out
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        split, whole, units, heads = [], [], {}, {}
-        for i, text in enumerate(texts):
-            words = text.split(" ")
-            ids = list(map(self.units.now.get, words))
-            ids[0] = None  # the first has no space before it
-            holes = [w for w, x in zip(words, ids) if x is None]
-            first = holes[0]
-            if not self.splits or any(map(text.__contains__, self.special)) or not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in holes[1:]):
-                whole.append(i)
-            else:
-                heads[first] = b""
-                units.update(dict.fromkeys(holes[1:]))
-                split.append((i, words, ids))
-        older = self.units.older
-        new = [w for w in units if w not in older]
-        units |= {w: older[w] for w in units if w in older}
-        parts = [texts[i] for i in whole] + list(heads)
-        encoded = self._library([*parts, f" {' '.join(new)}"] if new else parts) if parts or new else []
-        for i, ids in zip(whole, encoded):
-            out[i] = ids
-        heads = dict(zip(heads, encoded[len(whole) : len(parts)], strict=True))
-        if new:
-            raw = encoded[-1]
-            edges = (4 * np.append(np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]), len(raw) // 4)).tolist()
-            for w, a, b in zip(new, edges[:-1], edges[1:], strict=True):
-                units[w] = raw[a:b]
-        self.units.put(units)
-        for i, words, ids in split:
-            ids[0] = heads[words[0]]
-            out[i] = b"".join([units[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids)
-        return out
+    def letters(self, words: list[str]) -> list[bytes]:
+        text = f" {' '.join(words)}"
+        text = text.replace(" ", self.spelled[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.spelled)
+        return self._parted(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, len(words))
+
+    def others(self, words: list[str]) -> list[bytes]:
+        text = f" {' '.join(words)}"
+        if self.apart(text):  # a special token that holds a space, made by joining
+            return self.wholes([f" {w}" for w in words])
+        return self._parted(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, len(words))
+
+    def _parted(self, ids: list[int], n: int) -> list[bytes]:
+        flat = np.array(ids, "<u4")
+        edges = (4 * np.append(np.flatnonzero(self.opens[flat]), len(flat))).tolist()
+        if len(edges) != n + 1:
+            raise ValueError("a word does not begin with its space")
+        raw = flat.tobytes()
+        return [raw[i:j] for i, j in zip(edges, edges[1:])]
 
 
 @functools.lru_cache(maxsize=2)
