@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -100,16 +101,18 @@ class UnitEncoder:
     Byte-level pre-tokenisation never joins white space to what stands
     before it, so such a word with the one space before it is encoded alike
     wherever it stands. Words of letters alone are matched by the pattern
-    together with that space; a mark behind them is a match of its own. Known
-    words are looked up, the others of some texts are encoded together. Texts
+    together with that space; ASCII marks behind them, a line break and the
+    letters behind it are matches of their own. Known words are looked up, the others of some texts are encoded together. Texts
     with other runs of white space are encoded whole.
     """
 
-    MARKS, LONGEST = ".,;:!?", 64  # words of more characters are not kept
+    PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
+    LONGEST = 64  # words of more characters are not kept
 
     def __init__(self, entries: int, part: int):
         """entries: how many words are kept before these become the older ones, from which what is met again comes back; part: characters of the texts that go together."""
-        self.entries, self.part, self.marks = entries, part, {}
+        self.entries, self.part = entries, part
+        self.bare: dict[str, bytes] = {}  # what stands without a space before it: marks, line breaks, letters behind these
         self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -124,14 +127,16 @@ class UnitEncoder:
     def wholes(self, texts: list[str]) -> list[bytes]:
         raise NotImplementedError
 
+    def alone(self, parts: list[str]) -> list[bytes]:
+        """The ids of these parts, each letters alone, marks alone or a line break."""
+        return self.wholes(parts)
+
     def apart(self, text: str) -> bool:
         """Whether this text, or word, must be encoded whole."""
         return False
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if not self.marks:
-            self.marks = dict(zip(self.MARKS, self.wholes(list(self.MARKS))))
         out, start = [], 0
         while start < len(texts):
             end, size = start, 0
@@ -187,14 +192,26 @@ class UnitEncoder:
         """Takes in these words, which neither begin nor end with white space."""
         now, older = self.now, self.older
         letters = [w for w in new if w.isalpha()]
-        rest = new.difference(letters)
-        marked = [w for w in rest if w[-1] in self.marks and w[:-1].isalpha()]
-        others = list(rest.difference(marked))
-        letters += {b for w in marked if (b := w[:-1]) not in new and b not in now and b not in older}
+        parted, others, bare = [], [], {}
+        for w in new.difference(letters):
+            m = self.PLAIN.fullmatch(w)
+            first, *rest = m.groups("") if m else ("",)
+            if first.isalpha() and (not rest[1] or rest[1].isalpha()):
+                rest = [x for x in (rest[0], "\n" if rest[1] else "", rest[1], rest[2]) if x]
+                parted.append((w, first, rest))
+                bare.update((x, None) for x in rest if x not in self.bare)
+            else:
+                others.append(w)
+        letters += {b for _, b, _ in parted if b not in new and b not in now and b not in older}
         if letters:
             now.update(zip(letters, self.letters(letters), strict=True))
-        for w in marked:
-            base = w[:-1]
-            now[w] = (now[base] if base in now else older[base]) + self.marks[w[-1]]
+        if bare:
+            if len(self.bare) > self.entries // 4:
+                self.bare = {}
+                bare = dict.fromkeys(x for _, _, rest in parted for x in rest)
+            self.bare.update(zip(bare, self.alone(list(bare)), strict=True))
+        get = self.bare.__getitem__
+        for w, first, rest in parted:
+            now[w] = b"".join([now[first] if first in now else older[first], *map(get, rest)])
         if others:
             now.update(zip(others, self.others(others), strict=True))

@@ -163,7 +163,7 @@ class CachedTokenizer(UnitEncoder):
     that hold a special token's string go to the library whole.
     """
 
-    def __init__(self, path: str, entries: int = 300_000, part: int = 1 << 20):
+    def __init__(self, path: str, entries: int = 400_000, part: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -174,7 +174,9 @@ class CachedTokenizer(UnitEncoder):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size()
         self.opens = np.zeros(self.size, bool)  # tokens that begin with a space
+        self.length = np.zeros(self.size, np.int64)
         for token, i in self.library.get_vocab().items():
+            self.length[i] = len(token)
             self.opens[i] = token.startswith(self.spelled[32]) and token not in self.special
 
     def apart(self, text: str) -> bool:
@@ -194,6 +196,14 @@ class CachedTokenizer(UnitEncoder):
             return self.wholes([f" {w}" for w in words])
         return self._parted(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, len(words))
 
+    def alone(self, parts: list[str]) -> list[bytes]:
+        words = [p if p.isascii() and p != "\n" else p.encode().decode("latin-1").translate(self.spelled) for p in parts]
+        ids = np.array(self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        # A part's ids end where their lengths have made up its own.
+        ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))) + 1
+        raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[i:j] for i, j in zip(edges, edges[1:])]
+
     def _parted(self, ids: list[int], n: int) -> list[bytes]:
         flat = np.array(ids, "<u4")
         edges = (4 * np.append(np.flatnonzero(self.opens[flat]), len(flat))).tolist()
@@ -220,13 +230,13 @@ def write(df: DataFrame, path: str, folder: str, end_id: int | None, doc_id: str
         from pyspark import TaskContext
 
         own, name, out = tokenizer(path), "", None
+        end = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in slices(batches, 1):
             if out is None:
                 name, stream = create(".bits")
                 out = Writer(stream, bits_for(own.size))
             for key, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1).to_pylist()), strict=True):
-                got = np.frombuffer(ids, "<u4")
-                out.add(key, got if end_id is None else np.append(got, np.uint32(end_id)))
+                out.add(key, np.frombuffer(ids + end, "<u4"))
         if out is not None:
             out.close()
             yield {"path": name, "shard": TaskContext.get().partitionId(), "n_docs": len(out.docs), "n_ids": out.n_ids}
